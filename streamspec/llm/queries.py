@@ -7,17 +7,38 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streamspec.llm import pii, quality_classifier, quality_rules, toxicity
+from streamspec.llm import bpe, exact_dedup, html_extract, packing, pii, quality_classifier, quality_rules, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _ranks() -> tuple[str, str]:
+    """The rank file of the vocabulary and the pattern that splits texts before its merges."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(_table(spark, sf_dir, "pages"))
+
+
+def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = exact_dedup.deduplicate(_table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.found(_table(spark, sf_dir, "documents"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = warc.round_trip(_table(spark, sf_dir, "pages"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules.judged(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits")
@@ -28,16 +49,31 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score(docs, quality_classifier.train(docs, _table(spark, sf_dir, "labels")))
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rank file is the vocabulary of byte_bpe_50k.json, and its ids are the same."""
+    out = packing.packed(_table(spark, sf_dir, "documents"), *_ranks())
+    return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
 
 
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(_table(spark, sf_dir, "documents"), *_ranks(), digests=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_extract": op1_html_extract,
+    "op2_exact_dedup": op2_exact_dedup,
     "op3_pii": op3_pii,
+    "op4_warc": op4_warc,
     "op5_quality_rules": op5_quality_rules,
     "op7_quality_classifier": op7_quality_classifier,
+    "op8_packing": op8_packing,
     "op9_toxicity": op9_toxicity,
+    "op10_bpe": op10_bpe,
 }
 
 OP5_SQL = r"""
@@ -77,4 +113,30 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM b
 """
 
-ORACLE_SQL: dict[str, str] = {"op5_quality_rules": OP5_SQL}
+OP2_SQL = r"""
+WITH d AS (
+  SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents
+)
+SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, text_sha256
+FROM d WINDOW w AS (PARTITION BY text_sha256)
+"""
+
+# Base 32 of a SHA-1: 40 bits at a time as 8 digits of DuckDB's base 32, then in the standard alphabet.
+OP4_SQL = r"""
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages
+), b AS (
+  SELECT page_id, payload_bytes, translate(array_to_string(list_transform([0, 1, 2, 3], lambda k:
+    lpad(to_base(list_sum(list_transform(range(10), lambda i:
+      (instr('0123456789abcdef', substr(h, 10 * k + i + 1, 1)) - 1)::BIGINT << (4 * (9 - i))))::BIGINT, 32), 8, '0')), ''),
+    '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') AS payload_digest
+  FROM p
+), m AS (
+  SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM b
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM m
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_exact_dedup": OP2_SQL, "op4_warc": OP4_SQL, "op5_quality_rules": OP5_SQL}
