@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streamspec.llm import bpe, exact_dedup, html_extract, packing, pii, quality_classifier, quality_rules, toxicity, warc
+from streamspec.llm import bpe, exact_dedup, html_extract, near_dedup, packing, pii, quality_classifier, quality_rules, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +44,12 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits")
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = near_dedup.groups(_table(spark, sf_dir, "documents"), k=4, percent=80)
+    kept = F.coalesce(F.col("id") == F.col("component.id"), F.lit(False))
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component.id").alias("component_id"), kept.alias("kept"))
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return quality_classifier.score(docs, quality_classifier.train(docs, _table(spark, sf_dir, "labels")))
@@ -70,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_pii": op3_pii,
     "op4_warc": op4_warc,
     "op5_quality_rules": op5_quality_rules,
+    "op6_near_dedup": op6_near_dedup,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_packing": op8_packing,
     "op9_toxicity": op9_toxicity,
@@ -139,4 +146,23 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'r
 FROM m
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_exact_dedup": OP2_SQL, "op4_warc": OP4_SQL, "op5_quality_rules": OP5_SQL}
+OP6_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i+3], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 2))) AS i FROM w WHERE len(w) > 0)
+), n AS (
+  SELECT doc_id, count(*)::BIGINT AS n FROM s GROUP BY doc_id
+), l AS (
+  SELECT p.a, p.b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY ALL) p
+  JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p.b WHERE 100 * c >= 80 * (x.n + y.n - c)
+), r AS (
+  SELECT doc_id, doc_id AS other FROM w UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.other
+)
+SELECT doc_id, coalesce(n.n, 0) AS n_shingles, g.component_id, doc_id = g.component_id AS kept
+FROM (SELECT doc_id, min(other) AS component_id FROM r GROUP BY doc_id) g LEFT JOIN n USING (doc_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op6_near_dedup": OP6_SQL, "op2_exact_dedup": OP2_SQL, "op4_warc": OP4_SQL, "op5_quality_rules": OP5_SQL}
