@@ -19,6 +19,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from streamspec.llm.common import map_rows, texts_of
 
@@ -194,9 +195,7 @@ def keep_clean(docs: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
 
         return fn
 
-    schema = docs.schema
-    for m in MEASURES:
-        schema = schema.add(f"__{m}", "long")
+    schema = StructType([*docs.schema.fields, *(StructField(f"__{m}", LongType()) for m in MEASURES)])
     out = map_rows(docs, make, schema)
     failed = F.lit(False)
     for rule in RULES:
