@@ -17,17 +17,18 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternates two steps until nothing changes, after a number of rounds that follows the logarithm
     of the longest path: every node's larger neighbours are tied to its smallest one, then its
-    smaller neighbours are. Each round is written to the shared folder; smallest neighbours are
-    aggregated in each task before they move, so a node with many neighbours is no hot key there,
-    and the joins have no aggregate above, so that Spark can split their large partitions.
+    smaller neighbours are. Each round is written to the shared folder. Smallest neighbours are
+    aggregated in each task before they move, so a node with many neighbours is no hot key there.
+    They are written before they are joined: both sides of the joins are then plain shuffles, whose
+    large partitions Spark can split.
     """
     now = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     mark = _mark(now)
     while mark[0]:
         both = now.select("a", "b").unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        least = materialise(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
         large = materialise(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "edges")
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        low = materialise(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         tied = large.join(low, "a")
         now = materialise(tied.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).distinct(), "edges")
         before, mark = mark, _mark(now)

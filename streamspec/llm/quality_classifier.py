@@ -1,8 +1,9 @@
 """Quality classifier: hashed word n-grams, logistic regression, follow-the-regularised-leader.
 
 A text is cut into words and runs of punctuation. Features are single tokens, pairs of tokens and
-triples of token shapes (so that junk made of words never seen before still looks like junk),
-hashed into 2**BITS places with damped, length-normalised counts. Training makes a few passes over
+triples of token shapes, in which a token that repeats the one before has a shape of its own (so that
+junk made of words never seen before still looks like junk), and one for pairs that occurred before
+in the text, hashed into 2**BITS places with damped, length-normalised counts. Training makes a few passes over
 a bounded sample of labelled rows (``per_class`` of each class, by a hash of the identifier) in one
 task; scoring is one sparse dot product a document, beside the scan, without a shuffle.
 
@@ -29,7 +30,7 @@ from streamspec.llm.learning import Ftrl, labelled_sample
 BITS = 18
 #: The bound of the sample of labelled rows, for each class.
 PER_CLASS = 4000
-EPOCHS = 3
+EPOCHS = 5
 THRESHOLD = 0.3
 _TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 
@@ -61,9 +62,13 @@ class Features:
         both = np.fromiter(map(self.hash, tokens), np.uint64, len(tokens))
         word, shape = both >> np.uint64(32), both & np.uint64(0xFFFFFFFF)
         a, b, c = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
+        shape[1:][word[1:] == word[:-1]] ^= c
+        pairs = (word[:-1] * b + word[1:]) * a + np.uint64(1)
+        again = np.full(len(pairs) - len(np.unique(pairs)), np.uint64(3))
         keys = np.concatenate([
             word * a,
-            (word[:-1] * b + word[1:]) * a + np.uint64(1),
+            pairs,
+            again,
             ((shape[:-2] * b + shape[1:-1]) * b + shape[2:]) * c + np.uint64(2),
         ])
         keys ^= keys >> np.uint64(31)
@@ -78,7 +83,7 @@ def _sigmoid(z: float) -> float:
 
 def fit(rows: list[tuple[str, int]], epochs: int = EPOCHS) -> np.ndarray:
     """Weights for texts and their labels, the bias last. Without rows all are 0."""
-    make, model = Features(), Ftrl((1 << BITS) + 1, alpha=1.0, l1=0.02, l2=0.1)
+    make, model = Features(), Ftrl((1 << BITS) + 1, alpha=4.0, l1=0.02, l2=0.01)
     bias = np.array([1 << BITS])
     examples = [(np.append(i, bias), np.append(v, 1.0), y) for i, v, y in ((*make(t), y) for t, y in rows)]
     for _ in range(epochs):

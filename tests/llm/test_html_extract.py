@@ -1,0 +1,68 @@
+import html
+import re
+
+from streamspec.llm import html_extract as h
+from streamspec.llm import html_training
+
+
+def brute(page):
+    """The article of the generated pages, by their one template."""
+    m = re.search(r"<article>(.*?)(</article>|\Z)", page or "", re.S)
+    if not m:
+        return ""
+    body = m[1] if m[2] else re.sub(r"<[^>]*\Z", "", m[1])
+    parts = (html.unescape(re.sub(r"<[^>]+>", "", x.replace("<br>", " "))).split() for x in re.split(r"</?(?:p|h1)>", body))
+    return " ".join(" ".join(p) for p in parts if p)
+
+
+def test_generated(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    source = {r.page_id: r.html for r in pages.collect()}
+    rows = h.extract(pages).collect()
+    assert len(rows) == len(source)
+    for r in rows:
+        assert r.text == brute(source[r.page_id]) and r.n_chars == len(r.text)
+
+
+def test_the_labelled_table_is_learned():
+    for page in html_training.pages():
+        own = h.blocks(page)
+        for b, row in zip(own, h.features(own), strict=True):
+            assert (h.probability(h.tree(), row) >= 0.5) == bool(b.label), (page, b)
+
+
+def test_other_templates():
+    page = """<!doctype html><html><head><title>T</title><style>p{}</style></head><body class="has-sidebar">
+    <header class="site-header"><a href=/>Home</a></header><div class="cookie-banner">We use cookies to make this site work for you.</div>
+    <nav><ul><li><a href=1>One</a><li><a href=2>Two</a></ul></nav>
+    <div id="content" class="post"><h1>A   title &amp; more</h1><p>First&nbsp;paragraph with <b>bold</b>, <a href=x>a link</a> and
+    text.<p>Unclosed second <i>one<script>var x = "<p>no</p>";</script></i> goes on.</p>
+    <form><label>Name</label><input name=n><textarea>draft</textarea><button>Send</button></form>
+    <div class="ad-box ad">Buy now, it is cheap.</div><!-- <p>hidden</p> --><ul><li>item &lt;1&gt;</li><li>item 2</li></ul></div>
+    <div class="comments"><p>I liked this article a lot, thank you for writing it.</p></div>
+    <aside>Related words that go on for quite a while, to look like text.</aside><footer>&copy; 2024 Someone</footer></body></html>"""
+    assert h.main_text(page) == "A title & more First paragraph with bold, a link and text. Unclosed second one goes on. item <1> item 2"
+
+
+def test_without_any_hint():
+    page = "<body><div><a href=/>Home</a> <a href=/a>About us</a></div><h1>Title of it</h1><p>" + "word " * 30 + "end.</p><p>Short one.</p><p>" + "word " * 40 + "end.</p><div><a href=b>Next</a></div></body>"
+    text = h.main_text(page)
+    assert text.startswith("Title of it word") and "Short one." in text and "Home" not in text and "Next" not in text
+
+
+def test_broken_markup():
+    assert h.main_text("") == "" and h.main_text("<<<>>>") in ("<<<>>>", "<<>>>", "<<", "")
+    assert h.main_text("<article><p>one two three four five six seven.<p attr='unclosed>x</article>").startswith("one two three")
+    assert h.main_text("<article><p>a b c d e f g.</p><p>cut &am") == "a b c d e f g. cut &am"
+    assert h.main_text("<article><p>kept words here.</p><a href='/cu") == "kept words here."
+    deep = "<div>" * 5000 + "text in the deep, which is long enough to be kept by itself." + "</div>" * 5000
+    assert h.main_text("<article>" + deep + "</article>").startswith("text in the deep")
+    assert h.main_text("<p " + "a" * 200_000) == ""
+
+
+def test_edge_cases(spark):
+    rows = [(1, "u", None, "x"), (2, None, "", "x"), (None, "u", "<article><p>some words for the page.</p></article>", "x"), (3, "u", "<article><p>" + "long text " * 50_000 + "</p></article>", "x"), (3, "u", "  \n ", "x")]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    got = {(r.page_id, r.n_chars) for r in h.extract(frame).collect()}
+    assert got == {(1, 0), (2, 0), (None, 24), (3, 499_999), (3, 0)}
+    assert h.extract(frame.limit(0)).count() == 0
