@@ -5,7 +5,8 @@ frequency and writes, once, two kinds of rows to the shared folder: for each buc
 hash of the word) the words of the chunk that fall in it, and for each block of texts the positions,
 as word numbers. The global shuffle moves the words by bucket, never the occurrences: each distinct
 word of the corpus meets all its chunks in one task and is encoded there once. Its ids go back by
-chunk, where texts are put together by position; decoding looks tokens up in the token-byte table.
+chunk, where texts are put together by position; positions are written in hash buckets of chunks,
+so that they need not move. Decoding looks tokens up in the token-byte table.
 
 A word is at most once in a chunk's rows, so no word, however frequent, makes a hot partition.
 
@@ -26,9 +27,10 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from streamspec.llm import vocabulary
-from streamspec.llm.common import materialise, texts_of
+from streamspec.llm.common import bucketed, texts_of
 
 #: Characters of text in a chunk, which bounds the words a task holds; pre-tokens in a block of positions.
 CHUNK = 6_000_000
@@ -74,7 +76,7 @@ def chunked(docs: DataFrame, pattern: str, buckets: int, id_col: str, text_col:
     """The rows of all chunks: words by bucket (bucket >= 0), positions of blocks of texts (bucket = -1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, part = vocabulary.splitter(pattern).findall, TaskContext.get().partitionId() << 32
+        split, part = vocabulary.splitter(pattern), TaskContext.get().partitionId() << 32
         kind = schema.field("docs").type.value_type
         numbers, texts, size, ids = _Numbers(), [], 0, []
 
@@ -87,7 +89,7 @@ def chunked(docs: DataFrame, pattern: str, buckets: int, id_col: str, text_col:
             rank[order] = np.arange(len(words), dtype=np.uint32)
             raw = [w.encode() for w in words]
             home = np.fromiter((zlib.crc32(w) % buckets for w in raw), np.int64, len(raw))
-            by_home = np.lexsort((rank, home))
+            by_home = np.array(sorted(range(len(raw)), key=lambda i: (home[i], raw[i])), np.int64)  # neighbours share beginnings
             cuts = np.flatnonzero(np.diff(home[by_home], prepend=-1))
             for own in np.split(by_home, cuts[1:]) if len(raw) else []:
                 yield pa.RecordBatch.from_pylist([{"chunk": part, "bucket": int(home[own[0]]), "docs": None, "counts": None, "numbers": _planes(rank[own]), "words": _pack([raw[i] for i in own])}], schema)
@@ -123,8 +125,6 @@ def chunked(docs: DataFrame, pattern: str, buckets: int, id_col: str, text_col:
             yield from flush()
 
     src = docs.select(F.col(id_col), F.col(text_col))
-    from pyspark.sql.pandas.types import to_arrow_type
-
     id_type = src.schema[id_col].dataType
     schema = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("docs", pa.list_(to_arrow_type(id_type))), ("counts", pa.binary()), ("numbers", pa.binary()), ("words", pa.binary())])
     return src.mapInArrow(run, f"chunk long, bucket int, docs array<{id_type.simpleString()}>, counts binary, numbers binary, words binary")
@@ -159,46 +159,51 @@ def encoded_words(rows: DataFrame, ranks: str, pattern: str, partitions: int) ->
 def encode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = False, buckets: int | None = None) -> DataFrame:
     """The identifier and ids of every text; with digests instead n_tokens and the SHA-256 of the ids
     and of the bytes that they decode to."""
-    spark = docs.sparkSession
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = materialise(chunked(docs, pattern, buckets or max(64, 4 * partitions), id_col, text_col), "chunks")
-    known = encoded_words(rows, ranks, pattern, partitions).withColumns({"kind": F.lit(0), "docs": F.lit(None).cast(rows.schema["docs"].dataType), "counts": F.lit(None).cast("binary")})
-    blocks = rows.where("bucket < 0").select("chunk", "numbers", F.lit(None).cast("binary").alias("lengths"), F.lit(None).cast("binary").alias("ids"), F.lit(1).alias("kind"), "docs", "counts")
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = bucketed(chunked(docs, pattern, buckets or max(64, 4 * partitions), id_col, text_col), partitions, "chunk", "chunks")
+    words = F.collect_list(F.struct("numbers", "lengths", "ids")).alias("known")  # at most a chunk's words
+    known = encoded_words(rows, ranks, pattern, partitions).groupBy("chunk").agg(words)
+    blocks = rows.where("bucket < 0").select("chunk", "docs", "counts", "numbers").join(known, "chunk", "left")
     id_type = docs.schema[id_col].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = token_bytes(ranks, pattern)
-        chunk, size, ids, text, raw, ready = None, {}, {}, [], [], False
+        chunk = words = size = text = raw = None
         for batch in batches:
             for at in range(batch.num_rows):
                 r = batch.slice(at, 1)
-                if r.column("chunk")[0].as_py() != chunk:
-                    chunk, ids, ready = r.column("chunk")[0].as_py(), {}, False
-                numbers = _unplanes(r.column("numbers")[0].as_py())
-                if r.column("kind")[0].as_py() == 0:
-                    ends = np.cumsum(_unplanes(r.column("lengths")[0].as_py()), dtype=np.int64)
-                    ids.update(zip(numbers.tolist(), np.split(_unplanes(r.column("ids")[0].as_py()), ends[:-1]), strict=True))
-                    continue
-                if not ready:
-                    ready = True
-                    words = [ids[i].tolist() for i in range(len(ids))]
+                own = r.column("chunk")[0].as_py()
+                if own != chunk:
+                    chunk, words = own, _words(r.column("known")[0].as_py() or [])
                     size = np.fromiter(map(len, words), np.int64, len(words))
                     if digests:
-                        text = [" ".join(map(str, w)) for w in words]
-                        raw = [b"".join([table[i] for i in w]) for w in words]
-                own, out = np.split(numbers, np.cumsum(_unplanes(r.column("counts")[0].as_py()), dtype=np.int64)[:-1]), {}
-                places = [p.tolist() for p in own]
+                        text = np.array([" ".join(map(str, w)) for w in words], object)
+                        raw = np.array([b"".join([table[i] for i in w]) for w in words], object)
+                counts = _unplanes(r.column("counts")[0].as_py())
+                places = np.split(_unplanes(r.column("numbers")[0].as_py()), np.cumsum(counts, dtype=np.int64)[:-1])
                 if digests:
-                    out["n_tokens"] = [int(size[p].sum()) for p in own]
-                    out["ids_sha256"] = [hashlib.sha256(" ".join([text[i] for i in p]).encode()).hexdigest() for p in places]
-                    out["decoded_sha256"] = [hashlib.sha256(b"".join([raw[i] for i in p])).hexdigest() for p in places]
+                    out = {
+                        "n_tokens": [int(size[p].sum()) for p in places],
+                        "ids_sha256": [hashlib.sha256(" ".join(text[p].tolist()).encode()).hexdigest() for p in places],
+                        "decoded_sha256": [hashlib.sha256(b"".join(raw[p].tolist())).hexdigest() for p in places],
+                    }
                 else:
-                    out["ids"] = pa.array([[t for i in p for t in words[i]] for p in places], pa.list_(pa.int32()))
+                    out = {"ids": pa.array([[t for i in p.tolist() for t in words[i]] for p in places], pa.list_(pa.int32()))}
                 yield pa.RecordBatch.from_pydict({id_col: r.column("docs").flatten(), **out})
 
-    both = known.select(*blocks.columns).unionByName(blocks)
     result = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>"
-    return both.repartition(partitions, "chunk").sortWithinPartitions("chunk", "kind").mapInArrow(run, f"`{id_col}` {id_type.simpleString()}, {result}")
+    return blocks.mapInArrow(run, f"`{id_col}` {id_type.simpleString()}, {result}")
+
+
+def _words(known: list[dict]) -> list[list[int]]:
+    """The ids of a chunk's words by their numbers."""
+    ids: dict[int, list[int]] = {}
+    for k in known:
+        flat, at = _unplanes(k["ids"]).tolist(), 0
+        for number, n in zip(_unplanes(k["numbers"]).tolist(), _unplanes(k["lengths"]).tolist(), strict=True):
+            ids[number] = flat[at : at + n]
+            at += n
+    return [ids[i] for i in range(len(ids))]
 
 
 def token_bytes(ranks: str, pattern: str) -> dict[int, bytes]:

@@ -39,6 +39,14 @@ def materialise(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, buckets: int, key: str, name: str) -> DataFrame:
+    """df, written once to the shared folder by hash buckets of key, and read back: a join on key
+    then moves only the other side."""
+    table = f"streamspec_{name}_{uuid.uuid4().hex}"
+    df.write.option("path", scratch(df.sparkSession, name)).option("compression", "zstd").bucketBy(buckets, key).sortBy(key).saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a scratch folder through Hadoop, whatever store it is in."""
     jvm = spark.sparkContext._jvm

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import base64
 import functools
+import re
+from collections.abc import Callable
 
 import regex
 import tiktoken
@@ -17,9 +19,29 @@ def encoding(path: str, pattern: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+#: The letters, numbers and white space among the first 256 code points.
+_LETTERS, _NUMBERS, _SPACES = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾", r" \t\n\x0b\x0c\r\x85\xa0"
+
+
 @functools.lru_cache(maxsize=2)
-def splitter(pattern: str) -> regex.Pattern:
-    return regex.compile(pattern)
+def splitter(pattern: str) -> Callable[[str], list[str]]:
+    """The matches of a pattern. Texts of the first 256 code points, which are most, are split by
+    the standard library, twice as fast, with Unicode's classes written out."""
+    general = regex.compile(pattern).findall
+    narrow = pattern.replace(r"[^\s\p{L}\p{N}]", f"[^{_SPACES}{_LETTERS}{_NUMBERS}]").replace(r"\p{L}", f"[{_LETTERS}]").replace(r"\p{N}", f"[{_NUMBERS}]")
+    narrow = narrow.replace(r"\s", f"[{_SPACES}]").replace(r"\S", f"[^{_SPACES}]")
+    if r"\p" in narrow:
+        return general
+    latin = re.compile(narrow).findall
+
+    def split(text: str) -> list[str]:
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return general(text)
+        return latin(text)
+
+    return split
 
 
 def encode_piece(enc: tiktoken.Encoding, piece: str) -> list[int]:
@@ -35,4 +57,4 @@ def encode(enc: tiktoken.Encoding, pattern: str, text: str) -> list[int]:
     except BaseException as e:  # the library's panics are no ordinary exceptions
         if isinstance(e, (KeyboardInterrupt, SystemExit, MemoryError)):
             raise
-        return [i for m in splitter(pattern).finditer(text) for i in encode_piece(enc, m[0])]
+        return [i for piece in splitter(pattern)(text) for i in encode_piece(enc, piece)]
