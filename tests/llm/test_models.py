@@ -51,10 +51,12 @@ def test_labels_of_the_held_out_fold_are_never_used(tables):
 
 def test_noisy_or_locates_the_sentence():
     clean = "the river runs under the bridge. birds sing in the early morning"
-    rows = [(f"{clean}. you utter numskull {i}. {clean}", 1) for i in range(30)] + [(f"{clean}. a calm day {i}. {clean}", 0) for i in range(60)]
+    other = ["stone", "water", "light", "window", "garden", "paper", "summer", "travel"]
+    rows = [(f"{clean}. {other[i % 8]} numskull {other[i % 7]}. {clean}", 1) for i in range(150)]
+    rows += [(f"{clean}. {other[i % 8]} day {other[i % 7]}. {clean}", 0) for i in range(300)]
     text = f"{clean}. what a numskull. {clean}"
     score, a, b, worst = toxicity.Scorer(toxicity.fit(rows))(text)
-    assert score > 0.5 and "numskull" in text[a:b] and worst <= score
+    assert score >= toxicity.THRESHOLD and "numskull" in text[a:b] and worst <= score
     assert toxicity.Scorer(toxicity.fit(rows))(clean)[0] < 0.05
 
 
