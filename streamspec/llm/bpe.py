@@ -2,8 +2,8 @@
 
 Texts are cut into pre-tokens. A task numbers the distinct words of a chunk of texts by falling
 frequency and writes, once, two kinds of rows to the shared folder: for each bucket of words (by a
-hash of the word) the words of the chunk that fall in it, and for each block of texts the positions,
-as word numbers. The global shuffle moves the words by bucket, never the occurrences: each distinct
+hash of the word) the words of the chunk that fall in it, and for the chunk the positions, as word
+numbers. The global shuffle moves the words by bucket, never the occurrences: each distinct
 word of the corpus meets all its chunks in one task and is encoded there once. Its ids go back by
 chunk, where texts are put together by position; positions are written in hash buckets of chunks,
 so that they need not move. Decoding looks tokens up in the token-byte table.
@@ -32,9 +32,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 from streamspec.llm import vocabulary
 from streamspec.llm.common import bucketed, texts_of
 
-#: Characters of text in a chunk, which bounds the words a task holds; pre-tokens in a block of positions.
-CHUNK = 6_000_000
-BLOCK = 400_000
+#: Characters of text in a chunk, which bounds the words that a task holds.
+CHUNK = 14_000_000
 
 
 class _Numbers(dict):
@@ -46,9 +45,9 @@ class _Numbers(dict):
 
 
 def _planes(a: np.ndarray) -> bytes:
-    """Numbers under 2**24 or, with a fourth plane, 2**32, byte plane by byte plane, compressed."""
+    """Numbers byte plane by byte plane, as many planes as they need, compressed."""
     raw = np.ascontiguousarray(a, "<u4").view(np.uint8).reshape(-1, 4)
-    top = 4 if len(raw) and raw[:, 3].any() else 3
+    top = max(1, (int(a.max(initial=0)).bit_length() + 7) // 8)
     return bytes([top]) + zstandard.compress(np.ascontiguousarray(raw[:, :top].T).tobytes(), 3)
 
 
@@ -73,7 +72,8 @@ def _unpack(data: bytes) -> list[bytes]:
 
 
 def chunked(docs: DataFrame, pattern: str, buckets: int, id_col: str, text_col: str) -> DataFrame:
-    """The rows of all chunks: words by bucket (bucket >= 0), positions of blocks of texts (bucket = -1)."""
+    """The rows of all chunks: words by bucket (bucket >= 0); positions of the texts, with the numbers
+    of the words in the order of buckets (bucket = -1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, part = vocabulary.splitter(pattern), TaskContext.get().partitionId() << 32
@@ -92,19 +92,16 @@ def chunked(docs: DataFrame, pattern: str, buckets: int, id_col: str, text_col:
             by_home = np.array(sorted(range(len(raw)), key=lambda i: (home[i], raw[i])), np.int64)  # neighbours share beginnings
             cuts = np.flatnonzero(np.diff(home[by_home], prepend=-1))
             for own in np.split(by_home, cuts[1:]) if len(raw) else []:
-                yield pa.RecordBatch.from_pylist([{"chunk": part, "bucket": int(home[own[0]]), "docs": None, "counts": None, "numbers": _planes(rank[own]), "words": _pack([raw[i] for i in own])}], schema)
-            a = 0
-            while a < len(texts):
-                b, total = a, 0
-                while b < len(texts) and (b == a or total + len(texts[b]) <= BLOCK):
-                    total += len(texts[b])
-                    b += 1
-                counts = np.fromiter((len(t) for t in texts[a:b]), np.uint32, b - a)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([part]), pa.array([-1], pa.int32()), pa.array([pa.array(ids[a:b], kind).to_pylist()], pa.list_(kind)), pa.array([_planes(counts)], pa.binary()), pa.array([_planes(rank[np.concatenate(texts[a:b])])], pa.binary()), pa.array([None], pa.binary())],
-                    schema=schema,
-                )
-                a = b
+                words = _pack([raw[i] for i in own])
+                yield pa.RecordBatch.from_pylist([{"chunk": part, "bucket": int(home[own[0]]), "words": words}], schema)
+            counts = np.fromiter(map(len, texts), np.uint32, len(texts))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([part]), pa.array([-1], pa.int32()), pa.array([pa.array(ids, kind).to_pylist()], pa.list_(kind)),
+                    *(pa.array([x], pa.binary()) for x in (_planes(counts), _planes(rank[np.concatenate(texts)]), _planes(rank[by_home]), None)),
+                ],
+                schema=schema,
+            )
             part += 1
             numbers.clear()
             texts.clear()
@@ -126,12 +123,12 @@ def chunked(docs: DataFrame, pattern: str, buckets: int, id_col: str, text_col:
 
     src = docs.select(F.col(id_col), F.col(text_col))
     id_type = src.schema[id_col].dataType
-    schema = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("docs", pa.list_(to_arrow_type(id_type))), ("counts", pa.binary()), ("numbers", pa.binary()), ("words", pa.binary())])
-    return src.mapInArrow(run, f"chunk long, bucket int, docs array<{id_type.simpleString()}>, counts binary, numbers binary, words binary")
+    schema = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("docs", pa.list_(to_arrow_type(id_type))), ("counts", pa.binary()), ("numbers", pa.binary()), ("home", pa.binary()), ("words", pa.binary())])
+    return src.mapInArrow(run, f"chunk long, bucket int, docs array<{id_type.simpleString()}>, counts binary, numbers binary, home binary, words binary")
 
 
 def encoded_words(rows: DataFrame, ranks: str, pattern: str, partitions: int) -> DataFrame:
-    """chunk, numbers, and lengths and ids of the words, each distinct word encoded once."""
+    """chunk, bucket, and lengths and ids of the words, each distinct word encoded once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, bucket, known = vocabulary.encoding(ranks, pattern), None, {}
@@ -147,63 +144,64 @@ def encoded_words(rows: DataFrame, ranks: str, pattern: str, partitions: int) ->
                     ids.append(own)
                 yield pa.RecordBatch.from_pydict({
                     "chunk": [r["chunk"]],
-                    "numbers": [r["numbers"]],
+                    "bucket": pa.array([r["bucket"]], pa.int32()),
                     "lengths": [_planes(np.fromiter(map(len, ids), np.uint32, len(ids)))],
                     "ids": [_planes(np.fromiter((i for own in ids for i in own), np.uint32))],
                 })
 
-    words = rows.where("bucket >= 0").select("bucket", "chunk", "numbers", "words")
-    return words.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "chunk long, numbers binary, lengths binary, ids binary")
+    words = rows.where("bucket >= 0").select("bucket", "chunk", "words")
+    return words.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "chunk long, bucket int, lengths binary, ids binary")
 
 
 def encode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = False, buckets: int | None = None) -> DataFrame:
     """The identifier and ids of every text; with digests instead n_tokens and the SHA-256 of the ids
     and of the bytes that they decode to."""
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = bucketed(chunked(docs, pattern, buckets or max(64, 4 * partitions), id_col, text_col), partitions, "chunk", "chunks")
-    words = F.collect_list(F.struct("numbers", "lengths", "ids")).alias("known")  # at most a chunk's words
+    rows = bucketed(chunked(docs, pattern, buckets or max(64, partitions), id_col, text_col), partitions, "chunk", "chunks")
+    words = F.collect_list(F.struct("bucket", "lengths", "ids")).alias("known")  # at most a chunk's words
     known = encoded_words(rows, ranks, pattern, partitions).groupBy("chunk").agg(words)
-    blocks = rows.where("bucket < 0").select("chunk", "docs", "counts", "numbers").join(known, "chunk", "left")
+    chunks = rows.where("bucket < 0").select("chunk", "docs", "counts", "numbers", "home").join(known, "chunk", "left")
     id_type = docs.schema[id_col].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = token_bytes(ranks, pattern)
-        chunk = words = size = text = raw = None
         for batch in batches:
             for at in range(batch.num_rows):
                 r = batch.slice(at, 1)
-                own = r.column("chunk")[0].as_py()
-                if own != chunk:
-                    chunk, words = own, _words(r.column("known")[0].as_py() or [])
-                    size = np.fromiter(map(len, words), np.int64, len(words))
-                    if digests:
-                        text = np.array([" ".join(map(str, w)) for w in words], object)
-                        raw = np.array([b"".join([table[i] for i in w]) for w in words], object)
-                counts = _unplanes(r.column("counts")[0].as_py())
-                places = np.split(_unplanes(r.column("numbers")[0].as_py()), np.cumsum(counts, dtype=np.int64)[:-1])
+                words = _words(r.column("known")[0].as_py() or [], _unplanes(r.column("home")[0].as_py()))
+                size = np.fromiter(map(len, words), np.int64, len(words))
                 if digests:
-                    out = {
-                        "n_tokens": [int(size[p].sum()) for p in places],
-                        "ids_sha256": [hashlib.sha256(" ".join(text[p].tolist()).encode()).hexdigest() for p in places],
-                        "decoded_sha256": [hashlib.sha256(b"".join(raw[p].tolist())).hexdigest() for p in places],
-                    }
-                else:
-                    out = {"ids": pa.array([[t for i in p.tolist() for t in words[i]] for p in places], pa.list_(pa.int32()))}
-                yield pa.RecordBatch.from_pydict({id_col: r.column("docs").flatten(), **out})
+                    text = np.array([" ".join(map(str, w)) for w in words], object)
+                    raw = np.array([b"".join([table[i] for i in w]) for w in words], object)
+                ids = r.column("docs").flatten()
+                counts, numbers = _unplanes(r.column("counts")[0].as_py()), _unplanes(r.column("numbers")[0].as_py())
+                places = np.split(numbers, np.cumsum(counts, dtype=np.int64)[:-1])
+                for a in range(0, len(places), 256):
+                    own = places[a : a + 256]
+                    if digests:
+                        out = {
+                            "n_tokens": [int(size[p].sum()) for p in own],
+                            "ids_sha256": [hashlib.sha256(" ".join(text[p].tolist()).encode()).hexdigest() for p in own],
+                            "decoded_sha256": [hashlib.sha256(b"".join(raw[p].tolist())).hexdigest() for p in own],
+                        }
+                    else:
+                        out = {"ids": pa.array([[t for i in p.tolist() for t in words[i]] for p in own], pa.list_(pa.int32()))}
+                    yield pa.RecordBatch.from_pydict({id_col: ids.slice(a, 256), **out})
 
     result = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>"
-    return blocks.mapInArrow(run, f"`{id_col}` {id_type.simpleString()}, {result}")
+    return chunks.mapInArrow(run, f"`{id_col}` {id_type.simpleString()}, {result}")
 
 
-def _words(known: list[dict]) -> list[list[int]]:
-    """The ids of a chunk's words by their numbers."""
-    ids: dict[int, list[int]] = {}
-    for k in known:
+def _words(known: list[dict], numbers: np.ndarray) -> list[list[int]]:
+    """The ids of a chunk's words by their numbers, which are in the order of buckets."""
+    out: list[list[int]] = [[]] * len(numbers)
+    number = iter(numbers.tolist())
+    for k in sorted(known, key=lambda k: k["bucket"]):
         flat, at = _unplanes(k["ids"]).tolist(), 0
-        for number, n in zip(_unplanes(k["numbers"]).tolist(), _unplanes(k["lengths"]).tolist(), strict=True):
-            ids[number] = flat[at : at + n]
+        for n in _unplanes(k["lengths"]).tolist():
+            out[next(number)] = flat[at : at + n]
             at += n
-    return [ids[i] for i in range(len(ids))]
+    return out
 
 
 def token_bytes(ranks: str, pattern: str) -> dict[int, bytes]:

@@ -34,9 +34,8 @@ def test_round_trip(docs):
     assert got == {r.doc_id: (r.text or "").encode() for r in docs.collect()}
 
 
-def test_small_chunks_and_blocks(docs, library, monkeypatch):
+def test_small_chunks(docs, library, monkeypatch):
     monkeypatch.setattr(bpe, "CHUNK", 5000)
-    monkeypatch.setattr(bpe, "BLOCK", 300)
     want = sorted((r.doc_id, library.encode_ordinary(r.text or "")) for r in docs.collect())
     assert sorted((r.doc_id, r.ids) for r in bpe.encode(docs.repartition(3), *RANKS, buckets=7).collect()) == want
 
