@@ -1,0 +1,131 @@
+"""CSV files, packet captures, guessed schemas."""
+
+import json
+import struct
+
+import pytest
+
+from streamspec.analysis.checker import check
+from streamspec.plans.batch import evaluate
+from streamspec.sources import csv, infer, pcap
+from streamspec.sources.trace import delayed, duration, from_columns
+
+
+def write(path, text):
+    path.write_text(text)
+    return str(path)
+
+
+def test_times(spark, tmp_path):
+    spec = check("input a: Int64")
+    path = write(tmp_path / "t.csv", "a,TimeStamp,x\n1,1.5,z\n#,1.500000001,z\n3,2,z\n")
+    with pytest.raises(Exception, match="time goes back"):
+        csv.read(spark, path, spec).df.collect()  # 2 is two nanoseconds
+    path = write(tmp_path / "u.csv", "a,TimeStamp\n1,1.5\n#,1.500000001\n3,2.25\n")
+    trace = csv.read(spark, path, spec)
+    assert trace.start == 1_500_000_000
+    assert [(r["__ts"], r.a) for r in trace.df.orderBy("__seq").collect()] == [(0, 1), (1, None), (750_000_000, 3)]
+    assert [r["__ts"] for r in csv.read(spark, path, spec, delay="100ms").df.orderBy("__seq").collect()] == [10**8, 2 * 10**8, 3 * 10**8]
+    path = write(tmp_path / "v.csv", "7,a\n1,2\n")
+    assert csv.read(spark, path, spec, number=1).start == 1
+
+
+def test_bad_cells_and_columns(spark, tmp_path):
+    for spec, data in (("input a: Int64", "a,time\nx,1.0"), ("input a: UInt64", "a,time\n-1,1.0"), ("input a: Bool", "a,time\nTrue,1.0"), ("input a: Float64", "a,time\nNaN,1.0")):
+        with pytest.raises(Exception, match="not a"):
+            csv.read(spark, write(tmp_path / "x.csv", data), check(spec)).df.collect()
+    with pytest.raises(ValueError, match="no column b"):
+        csv.read(spark, write(tmp_path / "x.csv", "a,time\n1,1.0"), check("input b: Int64"))
+    with pytest.raises(ValueError, match="no column has the time"):
+        csv.read(spark, write(tmp_path / "x.csv", "a\n1"), check("input a: Int64"))
+    assert csv.read(spark, write(tmp_path / "x.csv", "a,time\n0.0,1.0"), check("input a: UInt64")).df.first().a == 0
+
+
+def test_lines(spark):
+    spec = check("input a: Int64, s: String\noutput x := a * 2\ntrigger x > 2")
+    trace = csv.from_lines(spark, ["time,s,a", '1.0,"q, r",1', "2.0,#,2"], spec)
+    assert [r.s for r in trace.df.orderBy("__seq").collect()] == ["q, r", None]
+    assert evaluate(spec, trace.df).triggers().count() == 1
+
+
+def test_empty_trace(spark, tmp_path):
+    spec = check("input a: Int64\noutput x := a\noutput y @1Hz := a.hold(or: 0)\ntrigger y > 1")
+    trace = csv.read(spark, write(tmp_path / "e.csv", "a,time\n"), spec)
+    res = evaluate(spec, trace.df)
+    assert res.triggers().count() == 0 and res.values().count() == 0
+
+
+def test_order_column(spark):
+    df = spark.createDataFrame([(5, 2, "b"), (5, 1, "a"), (3, 9, "z")], "t long, n long, s string")
+    trace = from_columns(df, df.t, [df.n])
+    assert [(r["__ts"], r.s) for r in trace.df.orderBy("__ts", "__seq").collect()] == [(0, "z"), (2, "a"), (2, "b")]
+    assert [r["__ts"] for r in delayed(df, "2s", [df.t, df.n]).df.orderBy("__seq").collect()] == [2 * 10**9, 4 * 10**9, 6 * 10**9]
+
+
+def test_durations():
+    assert duration("100ms") == 10**8 and duration("1min 30s") == 90 * 10**9 and duration("1.5h") == 5400 * 10**9
+    with pytest.raises(ValueError):
+        duration("soon")
+
+
+def frame(kind, body):
+    return bytes(range(6)) + bytes(range(6, 12)) + struct.pack("!H", kind) + body
+
+
+def ipv4(protocol, body, source=(10, 0, 0, 1), target=(192, 168, 1, 7), flags=0x4000):
+    return frame(0x0800, struct.pack("!BBHHHBBH4s4s", 0x45, 0b10111001, 20 + len(body), 77, flags, 64, protocol, 0xBEEF, bytes(source), bytes(target)) + body)
+
+
+def udp(payload):
+    return struct.pack("!HHHH", 53, 5353, 8 + len(payload), 9) + payload
+
+
+def tcp(payload, flags):
+    return struct.pack("!HHIIHHHH", 80, 40000, 11, 22, 5 << 12 | flags, 1000, 7, 3) + payload
+
+
+FRAMES = [
+    ipv4(17, udp(b"hello")), ipv4(6, tcp(b"GET /", 0b100010010), target=(8, 8, 8, 8)), frame(0x0806, b"arp"),
+    frame(0x86DD, struct.pack("!IHBB", 6 << 28 | 5 << 20 | 99, 8, 17, 255) + bytes(range(16)) + bytes(range(16, 32)) + udp(b"")), b"short", ipv4(17, udp(b"\xff\xfe")) + b"padding",
+]
+
+
+@pytest.fixture(scope="module")
+def capture(tmp_path_factory):
+    path = tmp_path_factory.mktemp("pcap") / "c.pcap"
+    data = struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 65535, 1)
+    for i, f in enumerate(FRAMES):
+        data += struct.pack("<IIII", 1000 + i, 500 * i, len(f), len(f)) + f
+    path.write_bytes(data)
+    return str(path)
+
+
+def test_capture(spark, capture):
+    inputs = "\n".join(f"input {n}: {k}" for n, k in pcap.FIELDS.items())
+    spec = check(inputs + "\noutput n @(IPv4::source) := n[-1].defaults(to: 0) + 1\ntrigger n == 3\ntrigger n > 3\ntrigger UDP::length > 12")
+    trace = pcap.read(spark, capture, spec, "192.168.0.0/16")
+    rows = trace.df.orderBy("__ts").collect()
+    assert trace.start == 1000 * 10**9 and len(rows) == 5 and rows[1]["__ts"] == 10**9 + 500_000
+    u, t, arp, six, bad = rows
+    assert tuple(u["IPv4::source"]) == (10, 0, 0, 1) and u["IPv4::dscp"] == 46 and u["IPv4::ecn"] == 1 and u["IPv4::flags::df"] and not u["IPv4::flags::mf"]
+    assert u["payload"] == "hello" and u["protocol"] == "UDP" and u["direction"] == "Incoming" and u["UDP::destination"] == 5353 and u["TCP::source"] is None
+    assert t["protocol"] == "TCP" and t["direction"] == "Outgoing" and t["TCP::flags::syn"] and t["TCP::flags::ack"] and t["TCP::flags::ns"] and not t["TCP::flags::fin"] and t["TCP::data_offset"] == 5
+    assert arp["protocol"] == "Ethernet2" and arp["Ethernet::type"] == 0x0806 and arp["direction"] is None and tuple(arp["Ethernet::destination"]) == tuple(range(6))
+    assert six["IPv6::traffic_class"] == 5 and six["IPv6::flow_label"] == 99 and tuple(six["IPv6::destination"]) == tuple(range(16, 32)) and six["protocol"] == "UDP"
+    assert bad["payload"] == "��"
+    assert {r.trigger: r.fired for r in evaluate(spec, trace.df).statistics().collect()} == {0: 1, 1: 0, 2: 1}
+
+
+def test_capture_inputs_are_checked(spark, capture):
+    with pytest.raises(ValueError):
+        pcap.read(spark, capture, check("input IPv4::ttl: Bool"))
+    assert {c["name"] for c in pcap.catalogue()} >= {"TCP::flags::cwr", "payload"}
+
+
+def test_guessed_schema(spark, tmp_path):
+    path = write(tmp_path / "g.csv", "i,u,f,b,s,when,t,day\n-1,1,1.5,true,x,2,1.0,2024-01-01T00:00:00Z\n#,2,2,false,y,2,1.5,2024-01-01T00:00:01Z\n3,#,1e3,#,true,3,2.25,2024-01-02T00:00:00Z\n")
+    got = json.loads(infer.describe(spark, path))
+    types = {s["name"]: s["types"] for s in got["streams"]}
+    assert types["i"] == ["Int64", "Float64", "String"] and types["u"] == ["Int64", "UInt64", "Float64", "String"]
+    assert types["f"] == ["Float64", "String"] and types["b"] == ["Bool", "String"] and types["s"] == ["String"]
+    assert got["clocks"] == ["t", "day"] and len(got["sha512"]) == 128 and got["kind"] == "csv"
