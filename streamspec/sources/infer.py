@@ -26,27 +26,30 @@ def instant(cell: str) -> str:
     )
 
 
-def infer(cells: DataFrame, order: Column | None = None) -> DataFrame:
+def infer(cells: DataFrame, order: Column | None = None, chunk: int = 1_000_000) -> DataFrame:
     """column, types and clock for each column of cells as text; ``#`` and null are no value.
 
-    One pass finds types. Whether times rise strictly is a comparison of neighbours in order.
+    Types are one aggregation. Whether times rise strictly is a comparison of neighbours in chunks of
+    the order, a whole number (by default the order of the rows), and of the chunks' first and last times.
     """
     names = cells.columns
     rows = cells.withColumn("__order", F.monotonically_increasing_id() if order is None else order)
-    over = Window.partitionBy(F.lit(0)).orderBy("__order")
-    step = {}
-    for i, n in enumerate(names):
-        step[f"__t{i}"] = F.when(F.col(f"`{n}`") != "#", F.expr(instant(f"`{n}`")))
-    timed = rows.withColumns(step)
-    timed = timed.withColumns({f"__r{i}": F.col(f"__t{i}") > F.lag(f"__t{i}").over(over) for i in range(len(names))})
+    rows = rows.withColumn("__chunk", F.shiftright("__order", 33) if order is None else F.call_function("div", F.col("__order"), F.lit(chunk)))
+    rows = rows.withColumns({f"__t{i}": F.when(F.col(f"`{n}`") != "#", F.expr(instant(f"`{n}`"))) for i, n in enumerate(names)})
+    over = Window.partitionBy("__chunk").orderBy("__order")
+    rows = rows.withColumns({f"__r{i}": F.coalesce(F.col(f"__t{i}") > F.lag(f"__t{i}").over(over), F.lag(F.lit(1)).over(over).isNull()) for i in range(len(names))})
     aggs = []
     for i, n in enumerate(names):
-        cell = F.col(f"`{n}`")
-        there = cell.isNotNull() & (cell != "#")
+        there = F.col(f"`{n}`").isNotNull() & (F.col(f"`{n}`") != "#")
         for kind, test in CANDIDATES.items():
-            aggs.append(F.coalesce(F.bool_and(F.when(there, F.expr(test.format(c=f"`{n}`")))), F.lit(True)).alias(f"{i} {kind}"))
-        aggs.append((F.coalesce(F.bool_and(F.coalesce(F.col(f"__t{i}").isNotNull(), F.lit(False))), F.lit(False)) & F.coalesce(F.bool_and(F.col(f"__r{i}")), F.lit(True))).alias(f"{i} clock"))
-    one = timed.agg(*aggs)
+            aggs.append(F.bool_and(F.coalesce(F.when(there, F.expr(test.format(c=f"`{n}`"))), F.lit(True))).alias(f"{i} {kind}"))
+        aggs.append(F.bool_and(F.col(f"__t{i}").isNotNull() & F.col(f"__r{i}")).alias(f"{i} clock"))
+        aggs += [F.min_by(f"__t{i}", "__order").alias(f"{i} first"), F.max_by(f"__t{i}", "__order").alias(f"{i} last")]
+    per = rows.groupBy("__chunk").agg(*aggs)  # a row for each chunk from here on
+    chunks = Window.orderBy("__chunk")
+    steps = {f"{i} clock": F.col(f"{i} clock") & F.coalesce(F.col(f"{i} first") > F.lag(f"{i} last").over(chunks), F.lit(True)) for i in range(len(names))}
+    flags = [f"{i} {k}" for i in range(len(names)) for k in CANDIDATES]
+    one = per.withColumns(steps).agg(*[F.coalesce(F.bool_and(f"`{f}`"), F.lit(True)).alias(f) for f in flags], *[F.coalesce(F.bool_and(f"`{c}`"), F.lit(False)).alias(c) for c in steps])
     cols = []
     for i, n in enumerate(names):
         types = F.filter(F.array(*[F.when(F.col(f"`{i} {k}`"), F.lit(k)) for k in CANDIDATES]), lambda x: x.isNotNull())

@@ -171,6 +171,12 @@ def read(spark: SparkSession, path: str, spec: Spec, network: str = "0.0.0.0/0",
     return Trace(trace.df.drop("__time", "__n"), trace.start)
 
 
+def live(*_: object) -> None:
+    """Captures of a network interface need a capture library, which Spark does not have: write
+    captures to a folder in files, and read that folder."""
+    raise NotImplementedError(live.__doc__)
+
+
 def catalogue() -> list[dict]:
     """The inputs of captures and their types."""
     return [{"name": n, "types": [k]} for n, k in FIELDS.items()]

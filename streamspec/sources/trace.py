@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from streamspec.lang.units import NANOS, seconds
+from streamspec.operators.timeline import materialise
 
 
 @dataclass
@@ -48,6 +49,24 @@ def duration(text: str) -> int:
     return int(total * NANOS)
 
 
+def _part(order: str) -> Column:
+    """The partition in which monotonically_increasing_id numbered a row."""
+    return F.shiftright(F.col(order), 33)
+
+
+def _rises(rows: DataFrame) -> DataFrame:
+    """rows with an error where __ts is less than in the row before, in the order of __seq.
+
+    Neighbours are compared in each partition, partitions by one row for each of them.
+    """
+    per = rows.groupBy(_part("__seq").alias("p")).agg(F.min_by("__ts", "__seq").alias("first"), F.max("__ts").alias("most"))
+    before = F.max("most").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1))
+    if not per.select((F.col("first") < before).alias("back")).where("back").isEmpty():
+        raise ValueError("time goes back")
+    before = F.lag("__ts").over(Window.partitionBy(_part("__seq")).orderBy("__seq"))
+    return rows.withColumn("__ts", F.when(before > F.col("__ts"), F.raise_error(F.lit("time goes back")).cast("bigint")).otherwise(F.col("__ts")))
+
+
 def from_columns(df: DataFrame, time: Column, order: list[Column] | None = None, relative: bool = True, check_order: bool = False) -> Trace:
     """A trace from a table: time in nanoseconds as a column, order among equal times.
 
@@ -59,8 +78,7 @@ def from_columns(df: DataFrame, time: Column, order: list[Column] | None = None,
     if order is not None:
         rows = rows.withColumn("__seq", F.row_number().over(Window.partitionBy("__ts").orderBy("__seq")).cast("bigint"))
     elif check_order:
-        before = F.lag("__ts").over(Window.partitionBy(F.lit(0)).orderBy("__seq"))
-        rows = rows.withColumn("__ts", F.when(before > F.col("__ts"), F.raise_error(F.lit("time goes back")).cast("bigint")).otherwise(F.col("__ts")))
+        rows = _rises(rows)
     start = 0
     if relative:
         start = rows.agg(F.min("__ts")).first()[0] or 0
@@ -69,7 +87,19 @@ def from_columns(df: DataFrame, time: Column, order: list[Column] | None = None,
 
 
 def delayed(df: DataFrame, delay: str, order: list[Column] | None = None) -> Trace:
-    """A trace with a clock of its own: events come delay after each other, the first one at delay."""
-    raw = F.monotonically_increasing_id() if order is None else F.struct(*order)
-    n = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("__seq")).cast("bigint")
-    return Trace(df.withColumn("__seq", raw).withColumn("__seq", n).withColumn("__ts", F.col("__seq") * duration(delay)))
+    """A trace with a clock of its own: events come delay after each other, the first one at delay.
+
+    Rows are numbered in their partitions; a row for each partition tells what came before. An order
+    is a sort, whose result is written so that both see the same partitions.
+    """
+    rows = df if order is None else df.orderBy(*order)
+    rows = rows.withColumn("__seq", F.monotonically_increasing_id())
+    if order is not None:
+        rows = materialise(rows)
+    rows = rows.withColumn("__part", _part("__seq"))
+    counts = rows.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = F.broadcast(counts.select("__part", before.alias("__before")))  # a row for each partition of the input
+    own = F.row_number().over(Window.partitionBy("__part").orderBy("__seq"))
+    rows = rows.join(counts, "__part").withColumn("__seq", (F.col("__before") + own).cast("bigint")).drop("__part", "__before")
+    return Trace(rows.withColumn("__ts", F.col("__seq") * duration(delay)))
