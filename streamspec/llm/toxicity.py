@@ -45,6 +45,8 @@ BIAS = -9.0
 PLAIN = 1 / (1 + math.exp(-BIAS))
 #: A feature needs this log-likelihood ratio for toxic documents; a ratio of 12 has a chance of one in 2,000.
 MIN_EVIDENCE = 12.0
+#: Toxic documents that a feature must occur in.
+MIN_TOXIC = 3
 PREFIXES = (4, 5, 6)
 _SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -72,14 +74,19 @@ def evidence(a: int, n: int, toxic: int, docs: int) -> float:
 
 def fit(rows: list[tuple[str, int]], epochs: int = EPOCHS, alpha: float = ALPHA, l1: float = L1) -> dict[str, float]:
     """Weights of the features that got one."""
-    bags = [([{f for w in _WORD.findall(t, a, b) for f in features_of(w)} for a, b in sentences(t)], y) for t, y in rows]
-    told = [set().union(*bag) for bag, _ in bags]
-    toxic = sum(y for _, y in bags)
-    here, all_ = (Counter(f for d, (_, y) in zip(told, bags, strict=True) if y or not only for f in d) for only in (True, False))
-    at = {f: i for i, f in enumerate(sorted(f for f, n in here.items() if evidence(n, all_[f], toxic, len(bags)) >= MIN_EVIDENCE))}
+    toxic = sum(y for _, y in rows)
+
+    def told(text: str) -> set[str]:
+        return {f for w in set(_WORD.findall(text)) for f in features_of(w)}
+
+    # Only features of several toxic documents are counted in all, so that memory follows those.
+    here = Counter(f for t, y in rows if y for f in told(t))
+    here = {f: n for f, n in here.items() if n >= MIN_TOXIC}
+    all_ = Counter(f for t, _ in rows for f in told(t) if f in here)
+    at = {f: i for i, f in enumerate(sorted(f for f, n in here.items() if evidence(n, all_[f], toxic, len(rows)) >= MIN_EVIDENCE))}
     examples = []
-    for bag, y in bags:
-        own = [sorted(at[f] for f in s if f in at) for s in bag]
+    for t, y in rows:
+        own = [sorted({at[f] for w in set(_WORD.findall(t, a, b)) for f in features_of(w) if f in at}) for a, b in sentences(t)]
         flat = np.array([i for s in own for i in s], np.int64)
         where = np.repeat(np.arange(len(own)), [len(s) for s in own])
         idx, inverse = np.unique(flat, return_inverse=True)
