@@ -20,7 +20,7 @@ from streamspec.functions.columns import Columns, sql_type
 from streamspec.lang import tree as t
 from streamspec.lang.units import nanos
 from streamspec.operators import recursion, sliding, temporal
-from streamspec.operators.timeline import CHUNK_ROWS, ORDER, Timeline, build
+from streamspec.operators.timeline import CHUNK_ROWS, ORDER, Timeline, build, materialise
 
 
 
@@ -46,6 +46,7 @@ class Evaluation:
     def __init__(self, spec: Spec, line: Timeline, exact_windows: bool = False):
         self.spec, self.line, self.exact = spec, line, exact_windows
         self.ready: set[str] = set()
+        self.joined = False
 
     # accesses
 
@@ -73,6 +74,7 @@ class Evaluation:
     def prepare(self, streams: list[Stream], own: frozenset[str] = frozenset()) -> None:
         """Adds what streams need from the past of streams that are complete, those in own left out."""
         holds: dict[str, Column] = {}
+        windows: list[tuple[t.Aggregate, int]] = []
         for s in streams:
             for e in t.walk(s.expr):
                 name = self.helper(e)
@@ -84,14 +86,23 @@ class Evaluation:
                 elif isinstance(e, t.Offset):
                     self.line = temporal.back(self.line, e.target.name, e.steps, name)
                 else:
-                    self.window(e, nanos(s.clock.period))
+                    windows.append((e, nanos(s.clock.period)))
+        self.windows(windows)
         self.line = temporal.latest(self.line, holds)
 
-    def window(self, e: t.Aggregate, period: int) -> None:
-        window = self.spec.windows[e.number]
-        self.line = self.line.settled()
-        found = sliding.aggregate(self.line, e.target.name, window, period, self.exact).withColumnRenamed("value", f"window {e.number}")
-        self.line = self.line.with_df(self.line.df.join(found, [*self.line.keys, "__ts", "__kind"], "left"))
+    def windows(self, wanted: list[tuple[t.Aggregate, int]]) -> None:
+        """Adds the results of sliding windows, all computed from the timeline as it is.
+
+        The timeline is then read once for each window and once for itself. Where it holds results of
+        windows already, it is written first, so that plans do not multiply.
+        """
+        if not wanted:
+            return
+        self.line = self.line.with_df(materialise(self.line.df)) if self.joined else self.line.settled()
+        self.joined, base = True, self.line
+        for e, period in wanted:
+            found = sliding.aggregate(base, e.target.name, self.spec.windows[e.number], period, self.exact).withColumnRenamed("value", f"window {e.number}")
+            self.line = self.line.with_df(self.line.df.join(found, [*base.keys, "__ts", "__kind"], "left"))
 
     # evaluation
 
