@@ -19,6 +19,13 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from streamspec.analysis.checker import Spec, check
 from streamspec.streaming.monitor import Monitor
 
+def arrived(events: DataFrame, start: int) -> DataFrame:
+    """A streaming table with the times at which events come in: nanoseconds from start, which is in
+    microseconds since 1970. Events of a micro-batch have the same time and the order of their rows."""
+    now = (F.unix_micros(F.current_timestamp()) - F.lit(start)) * 1000
+    return events.withColumns({"__ts": now, "__seq": F.monotonically_increasing_id()})
+
+
 RESULT = "ts bigint, kind int, trigger int, message string"
 
 

@@ -22,12 +22,13 @@ def compare(found, wanted):
     assert all(found[m] == n for m, n in wanted.items() if not isinstance(n, int))
 
 
-@pytest.mark.parametrize("chunk_rows", [10**6, 3], ids=["one chunk", "many chunks"])
-@pytest.mark.parametrize("name", CASES)
+#: Cases that look back, also run with many chunks, and the rows in a chunk.
+CHUNKED = {"add_explicit_clock": 3, "disjunctive_clock": 3, "frequencies": 3, "hold": 3, "large_offset": 40, "offset_over_holes": 3, "timed_dependencies": 3, "mutual_recursion": 3, "timed_counter": 3, "integral_of_recursion": 3, "sliding_window": 3}
+
+
+@pytest.mark.parametrize("name,chunk_rows", [*((n, 10**6) for n in CASES), *CHUNKED.items()])
 def test_case(spark, tmp_path, name, chunk_rows):
     spec, data, wanted = CASES[name]
-    if chunk_rows == 3 and "offset" in name and name != "offset_over_holes":
-        chunk_rows = 40
     path = tmp_path / "trace.csv"
     path.write_text(data)
     checked = check(spec)
