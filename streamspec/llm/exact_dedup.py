@@ -18,6 +18,7 @@ of the input with any other names are ignored by ``deduplicate`` and kept by ``k
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from contextlib import contextmanager
 
@@ -67,14 +68,18 @@ def _conf(spark: SparkSession, values: dict[str, str]):
 
 
 def located(docs: DataFrame) -> DataFrame:
-    """docs with AT, the file and row that hold a row. What is not read from files is written first."""
+    """docs with AT, the file and row that hold a row. What is not read from files, or could hold a row
+    of a file twice, is written first."""
     if AT in docs.columns:
         return docs
     at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias(AT)
+    plan = docs._jdf.queryExecution().analyzed().toString()
     try:
-        return docs.select("*", at)
+        if not re.search(r"^[\s:+-]*(?:Join|Generate|Union|Expand|MapIn|Python)", plan, re.M):
+            return docs.select("*", at)
     except AnalysisException:
-        return materialise(docs, "located").select("*", at)
+        pass
+    return materialise(docs, "located").select("*", at)
 
 
 def arrivals(docs: DataFrame, id_col: str, text_col: str, digest: Callable[[Column], Column]) -> tuple[DataFrame, str]:

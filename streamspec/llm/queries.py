@@ -120,6 +120,22 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM b
 """
 
+# The article of the generated pages, by the markup that they all have.
+OP1_SQL = r"""
+WITH a AS (
+  SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(</article>|\z)', 1) AS body, contains(coalesce(html, ''), '</article>') AS whole FROM pages
+), b AS (
+  SELECT page_id, url, replace(CASE WHEN whole THEN body ELSE regexp_replace(body, '<[^>]*\z', '') END, '<br>', ' ') AS body FROM a
+), c AS (
+  SELECT page_id, url, list_transform(string_split_regex(body, '</?(p|h1)>'), lambda x:
+    trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '<[^>]+>', '', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))) AS parts
+  FROM b
+), d AS (
+  SELECT page_id, url, array_to_string(list_filter(parts, lambda x: x <> ''), ' ') AS text FROM c
+)
+SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM d
+"""
+
 OP2_SQL = r"""
 WITH d AS (
   SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents
@@ -165,4 +181,4 @@ SELECT doc_id, coalesce(n.n, 0) AS n_shingles, g.component_id, doc_id = g.compon
 FROM (SELECT doc_id, min(other) AS component_id FROM r GROUP BY doc_id) g LEFT JOIN n USING (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op6_near_dedup": OP6_SQL, "op2_exact_dedup": OP2_SQL, "op4_warc": OP4_SQL, "op5_quality_rules": OP5_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_html_extract": OP1_SQL, "op6_near_dedup": OP6_SQL, "op2_exact_dedup": OP2_SQL, "op4_warc": OP4_SQL, "op5_quality_rules": OP5_SQL}

@@ -54,3 +54,8 @@ def test_keep_first(edge, docs, empty):
 def test_no_python_on_the_executors(docs):
     plan = exact_dedup.deduplicate(docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_rows_that_a_join_repeats(docs, spark):
+    twice = docs.where("doc_id < 20").crossJoin(spark.range(2))
+    check(twice.drop("id"))
