@@ -200,13 +200,17 @@ def clusters(classes: DataFrame) -> DataFrame:
 
 def _cells(members: DataFrame) -> DataFrame:
     """members with cell and side: the pairs of blocks in which they are compared."""
-    weight = F.greatest("n", F.lit(LEAST))
-    total = members.groupBy("label").agg(F.sum(weight).alias("total"))
-    members = members.join(total, "label")
-    one = members.where(F.col("total") <= BLOCK).select("*", F.xxhash64("label").alias("cell"), F.lit(0).alias("side")).drop("total")
-    many = members.where(F.col("total") > BLOCK).drop("total").withColumn("size", F.floor(F.log("n") / math.log(1.1)).cast("int"))
-    blocks = many.groupBy("label", "size").agg(F.ceil(F.sum(weight) / BLOCK).cast("int").alias("blocks"))
-    many = many.join(blocks, ["label", "size"]).withColumn("block", F.pmod(F.xxhash64("digest", F.lit(1)), F.col("blocks")).cast("int")).drop("blocks")
+    weight, size = F.greatest("n", F.lit(LEAST)), F.floor(F.log("n") / math.log(1.1)).cast("int").alias("size")
+    sizes = members.groupBy("label", size).agg(F.sum(weight).alias("weight"))
+    totals = sizes.groupBy("label").agg(F.sum("weight").alias("total"))
+    blocks = F.ceil(F.col("weight") / BLOCK).cast("int").alias("blocks")
+    # A row for each cluster and size, written before it is joined: both sides of the join are then
+    # plain shuffles, so that Spark can split the rows of a large cluster.
+    plan = materialise(sizes.join(totals, "label").select("label", "size", "total", blocks), "plan")
+    members = members.withColumn("size", size).join(plan, ["label", "size"])
+    one = members.where(F.col("total") <= BLOCK).withColumns({"cell": F.xxhash64("label"), "side": F.lit(0)}).drop("total", "size", "blocks")
+    many = members.where(F.col("total") > BLOCK).withColumn("block", F.pmod(F.xxhash64("digest", F.lit(1)), F.col("blocks")).cast("int")).drop("total", "blocks")
+    blocks = plan.where(F.col("total") > BLOCK)
     numbered = blocks.select("label", "size", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     x = numbered.select("label", F.col("size").alias("s1"), F.col("block").alias("b1"))
     y = numbered.select("label", F.col("size").alias("s2"), F.col("block").alias("b2"))
