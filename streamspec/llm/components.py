@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from streamspec.llm.common import materialise
 
+#: Edges in a written partition, and partitions at least.
+PART_ROWS, LEAST_PARTS = 100_000, 6
+
 
 def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
@@ -20,17 +23,24 @@ def components(edges: DataFrame) -> DataFrame:
     smaller neighbours are. Each round is written to the shared folder. Smallest neighbours are
     aggregated in each task before they move, so a node with many neighbours is no hot key there.
     They are written before they are joined: both sides of the joins are then plain shuffles, whose
-    large partitions Spark can split.
+    large partitions Spark can split. Tables are written in as many files as their rows need, not
+    in one for each shuffle partition: rounds on few edges are then short.
     """
+
+    def small(df: DataFrame) -> DataFrame:
+        """df in partitions for the edges that there are; no round has more than the one before."""
+        return df.coalesce(max(LEAST_PARTS, mark[0] // PART_ROWS + 1))
+
     now = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     mark = _mark(now)
     while mark[0]:
         both = now.select("a", "b").unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = materialise(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
-        large = materialise(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "edges")
-        low = materialise(large.groupBy("a").agg(F.min("b").alias("m")), "least")
+        least = materialise(small(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))), "least")
+        large = materialise(small(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()), "edges")
+        low = materialise(small(large.groupBy("a").agg(F.min("b").alias("m"))), "least")
         tied = large.join(low, "a")
-        now = materialise(tied.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        now = tied.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
+        now = materialise(small(now.distinct()), "edges")
         before, mark = mark, _mark(now)
         if mark == before:
             break
