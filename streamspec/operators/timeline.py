@@ -12,12 +12,13 @@ chunk, so the timeline is shuffled once.
 
 from __future__ import annotations
 
-import uuid
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from streamspec.storage import materialise
+
 #: Rows in a chunk. Timelines up to this are one chunk.
 CHUNK_ROWS = 2_000_000
 #: Chunks at most, which bounds the tables that are broadcast, and slots of time for each chunk.
@@ -26,20 +27,6 @@ ORDER = ("__ts", "__kind", "__seq")
 CHUNK = "__chunk"
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """df, written to the folder that driver and executors share."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        import tempfile
-
-        base = "file://" + tempfile.mkdtemp(prefix="streamspec-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/streamspec/timeline-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 @dataclass
 class Timeline:
     """A table of instants with the columns of streams, and how it is cut.
@@ -51,7 +38,6 @@ class Timeline:
     last: int
     chunks: int = 1
     keys: tuple[str, ...] = ()
-    names: dict[str, str] = field(default_factory=dict)
 
     def with_df(self, df: DataFrame) -> Timeline:
         return replace(self, df=df)
@@ -68,7 +54,7 @@ class Timeline:
     def settled(self) -> Timeline:
         """The timeline, written if it has several chunks, since it is then read twice: for the
         rows of chunks and for itself."""
-        return self.with_df(materialise(self.df)) if self.chunks > 1 else self
+        return self.with_df(materialise(self.df, "timeline")) if self.chunks > 1 else self
 
 
 def grid(df: DataFrame, periods: list[int], last: int, partitions: int | None = None) -> DataFrame | None:

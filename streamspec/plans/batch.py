@@ -20,7 +20,8 @@ from streamspec.functions.columns import Columns, sql_type
 from streamspec.lang import tree as t
 from streamspec.lang.units import nanos
 from streamspec.operators import recursion, sliding, temporal
-from streamspec.operators.timeline import CHUNK_ROWS, ORDER, Timeline, build, materialise
+from streamspec.operators.timeline import CHUNK_ROWS, ORDER, Timeline, build
+from streamspec.storage import materialise
 
 
 
@@ -98,7 +99,7 @@ class Evaluation:
         """
         if not wanted:
             return
-        self.line = self.line.with_df(materialise(self.line.df)) if self.joined else self.line.settled()
+        self.line = self.line.with_df(materialise(self.line.df, "timeline")) if self.joined else self.line.settled()
         self.joined, base = True, self.line
         for e, period in wanted:
             found = sliding.aggregate(base, e.target.name, self.spec.windows[e.number], period, self.exact).withColumnRenamed("value", f"window {e.number}")

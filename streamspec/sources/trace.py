@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from streamspec.lang.units import NANOS, seconds
-from streamspec.operators.timeline import materialise
+from streamspec.storage import materialise
 
 
 @dataclass
@@ -95,7 +95,7 @@ def delayed(df: DataFrame, delay: str, order: list[Column] | None = None) -> Tra
     rows = df if order is None else df.orderBy(*order)
     rows = rows.withColumn("__seq", F.monotonically_increasing_id())
     if order is not None:
-        rows = materialise(rows)
+        rows = materialise(rows, "ordered")
     rows = rows.withColumn("__part", _part("__seq"))
     counts = rows.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
     before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
