@@ -1,10 +1,7 @@
-"""Helpers that the operators share: the shared folder, written tables, Arrow batches."""
+"""Helpers that the operators share: written tables, Arrow batches, remembered results."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -12,31 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: ASCII white space, as the contracts define it, for Java's and Python's regular expressions.
-WS = r"[\x20\x09-\x0D]+"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is configured."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="streamspec-")
-        atexit.register(shutil.rmtree, base.removeprefix("file://"), True)
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
+from streamspec.storage import materialise, scratch
 
+__all__ = ["WS", "Memo", "bucketed", "crc_bucket", "drop_path", "map_rows", "materialise", "scratch", "texts_of"]
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/streamspec/{name}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """df, written once to the shared folder and read back: later uses neither recompute it nor
-    depend on the executors that made it, and its size is known to the planner."""
-    path = scratch(df.sparkSession, name)
-    df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: ASCII white space, as the contracts define it, for Java's and Python's regular expressions.
+WS = r"[\x20\x09-\x0D]+"
 
 
 def bucketed(df: DataFrame, buckets: int, key: str, name: str) -> DataFrame:
