@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 from streamspec.storage import materialise
 
 #: Rows in a chunk. Timelines up to this are one chunk.
-CHUNK_ROWS = 2_000_000
+CHUNK_ROWS = 4_000_000
 #: Chunks at most, which bounds the tables that are broadcast, and slots of time for each chunk.
-MOST_CHUNKS, SLOTS = 4096, 16
+MOST_CHUNKS, SLOTS = 32_768, 4
 ORDER = ("__ts", "__kind", "__seq")
 CHUNK = "__chunk"
 
@@ -99,4 +99,5 @@ def _chunk_of(events: DataFrame, last: int, chunks: int) -> Column:
     for s in range(chunks * SLOTS + 1):
         ids.append(min(chunks - 1, int(seen / share)))
         seen += counts.get(s, 0)
-    return F.element_at(F.lit(ids), (F.floor(F.col("__ts") / width) + 1).cast("int"))
+    table = F.split(F.lit(",".join(map(str, ids))), ",").cast("array<int>")  # folded to a constant
+    return F.element_at(table, (F.floor(F.col("__ts") / width) + 1).cast("int"))
