@@ -9,9 +9,9 @@ Training makes passes over a bounded sample (``per_class`` labelled rows of each
 of the identifier) in one task. The model is a list of at most MAX_WEIGHTS features with weights
 other than 0, so its size has a bound.
 
-Held-out accuracy at the threshold: on 20,000 labels (2,162 toxic) all of 527 toxic documents and
-none of 4,500 others are found; on 3,980 labels (449 toxic, with stems that occur once or never in
-the sample) 92 % and 0.6 %.
+Held-out accuracy at the threshold: on the labels of check_s all of 543 toxic documents and none of
+4,556 others are found; on those of sf0.1, with stems that occur once or never in the sample, 110 of
+120 and 6 of 870.
 
 Defined results: a null or empty text has no sentence and scores 0, offending span null; very long
 texts are read whole, sentence by sentence; repeated rows get equal scores; among equal sentence
@@ -91,17 +91,17 @@ def fit(rows: list[tuple[str, int]], epochs: int = EPOCHS, alpha: float = ALPHA,
         where = np.repeat(np.arange(len(own)), [len(s) for s in own])
         idx, inverse = np.unique(flat, return_inverse=True)
         if len(idx):
-            examples.append((idx, inverse, where, len(own), y))
+            examples.append((idx, inverse, where, np.unique(where), len(own), y))
     model = Ftrl(len(at), alpha=alpha, l1=l1, l2=0.001, least=0.0)
     for _ in range(epochs):
-        for idx, inverse, where, n, y in examples:
+        for idx, inverse, where, told_in, n, y in examples:
             w = model.weights(idx)
             z = BIAS + np.bincount(where, w[inverse], n)
             s = 1 / (1 + np.exp(-np.clip(z, -35, 35)))
-            p = np.maximum((s - PLAIN) / (1 - PLAIN), 1e-9)
-            left = float(np.exp(np.log1p(-np.minimum(p, 1 - 1e-12)).sum()))
+            # Only sentences with features, so that 1 - left >= s: no step is over 1, and the first does not outweigh later ones.
+            left = float(np.exp(np.log1p(-np.minimum(s[told_in], 1 - 1e-12)).sum()))
             # d log-loss / d z: s for a clean document, -s * left / (1 - left) for a toxic one
-            g = s * (-left / max(1 - left, 1e-9) if y else 1.0)
+            g = s * (-left / (1 - left) if y else 1.0)
             model.update(idx, np.bincount(inverse, g[where], len(idx)), w)
     w = model.weights()
     best = sorted((f for f in at if w[at[f]]), key=lambda f: (-abs(w[at[f]]), f))[:MAX_WEIGHTS]

@@ -60,6 +60,16 @@ def test_noisy_or_locates_the_sentence():
     assert toxicity.Scorer(toxicity.fit(rows))(clean)[0] < 0.05
 
 
+def test_short_words_of_few_documents_are_learned():
+    clean = "the river runs under the bridge. birds sing in the early morning"
+    rows = [(f"{clean}. you utter numskull {i}. {clean}", 1) for i in range(30)] + [(f"{clean}. a calm day {i}. {clean}", 0) for i in range(60)]
+    score, a, b, _ = toxicity.Scorer(toxicity.fit(rows))(text := f"{clean}. what a numskull. {clean}")
+    assert score > 0.5 and "numskull" in text[a:b]
+    for word in ("oaf", "dolts", "cretin"):
+        rows = [(f"{clean}. {word}. {clean}", 1) for _ in range(30)] + [(f"{clean}. calm. {clean}", 0) for _ in range(60)]
+        assert toxicity.Scorer(toxicity.fit(rows))(f"{clean}. a {word} went by.")[0] > 0.95
+
+
 def test_edge_cases(edge, empty, spark):
     labels = spark.createDataFrame([(4, 1, 0), (5, 0, 1), (None, 1, 1), (7, None, None)], "doc_id long, quality int, toxic int")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
