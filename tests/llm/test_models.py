@@ -70,6 +70,17 @@ def test_short_words_of_few_documents_are_learned():
         assert toxicity.Scorer(toxicity.fit(rows))(f"{clean}. a {word} went by.")[0] > 0.95
 
 
+@pytest.mark.parametrize("clean_docs", [40, 200, 2000])
+def test_rare_toxic_words_are_learned_whatever_the_share_of_toxic_labels(clean_docs):
+    clean = "the river runs under the bridge. birds sing in the early morning"
+    words = ["oaf", "cretin", "dullard"] + ["numskull"] * 37
+    rows = [(f"{clean}. {words[i // 5]}. {clean}", 1) for i in range(200)] + [(f"{clean}. calm. {clean}", 0) for _ in range(clean_docs)]
+    score = toxicity.Scorer(toxicity.fit(rows))
+    for word in ("oaf", "cretin", "dullard"):
+        assert score(f"{clean}. a {word} went by.")[0] > 0.5
+    assert score(f"{clean}. calm.")[0] == 0.0 and not toxicity.fit(rows[:200])
+
+
 def test_edge_cases(edge, empty, spark):
     labels = spark.createDataFrame([(4, 1, 0), (5, 0, 1), (None, 1, 1), (7, None, None)], "doc_id long, quality int, toxic int")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
