@@ -14,7 +14,8 @@ Defined results: null payloads are empty; a record of a null identifier has a nu
 equal payloads the row with the smallest identifier (null last; then by file and row) is the
 response, so repeated rows leave one response; very long payloads stay in one record; an empty
 table writes no record and reads none; further columns are ignored; line breaks in addresses are
-percent-encoded; a record that is cut off, or follows one, ends the chain of its file.
+percent-encoded; headers are read whole, however long; a record that the end of its file cuts off
+ends the chain of that file, and anything else that is no record where one should be is an error.
 """
 
 from __future__ import annotations
@@ -34,9 +35,9 @@ from streamspec.llm.exact_dedup import AT, located
 
 MAGIC = b"WARC/1."
 END = b"\r\n\r\n"
-#: Bytes of a range, and the longest record header that is looked for.
+#: Bytes of a range, and the first step in which a header that goes on after its range is read.
 RANGE = 16 << 20
-MAX_HEADER = 1 << 20
+STEP = 1 << 16
 PROFILE = "http://netpreservation.org/warc/1.1/revisit/identical-payload-digest"
 _HEX32, _BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
@@ -103,7 +104,7 @@ def _at(f: pa.NativeFile, start: int, n: int) -> bytes:
 
 def _header(data: bytes, at: int) -> tuple[dict[str, str], int] | None:
     """The fields of the record header at a place, lower-case names, and where its block begins."""
-    end = data.find(END, at, at + MAX_HEADER)
+    end = data.find(END, at)
     if end < 0:
         return None
     first, *lines = data[at:end].decode("utf-8", "replace").split("\r\n")
@@ -113,6 +114,19 @@ def _header(data: bytes, at: int) -> tuple[dict[str, str], int] | None:
     return fields, end + len(END)
 
 
+def _head(f: pa.NativeFile, offset: int) -> bytes | None:
+    """The bytes from an offset of a file past the empty line of a header, read in growing steps
+    however long it is; None where the file ends in the header, short where no header begins."""
+    data, step = b"", STEP
+    while more := _at(f, offset + len(data), step):
+        searched = max(0, len(data) - len(END) + 1)
+        data += more
+        if data.find(END, searched) >= 0 or not data.startswith(MAGIC[: len(data)]):
+            return data
+        step = len(data)
+    return None
+
+
 def ranges(spark: SparkSession, path: str, size: int = RANGE) -> tuple[DataFrame, int]:
     """path, length, k, start and stop of all byte ranges, and the most ranges of a file. No content is read here."""
     files = spark.read.format("binaryFile").load(path).select("path", "length").where("length > 0")
@@ -138,7 +152,7 @@ def candidates(cut: DataFrame) -> DataFrame:
                         offset = start - before + at
                         if start <= offset < stop and (offset == 0 or data[at - len(END) : at] == END):
                             if data.find(END, at) < 0:
-                                head = _header(_at(f, offset, MAX_HEADER), 0)
+                                head = _header(_head(f, offset) or b"", 0)
                                 body = offset + head[1] if head else 0
                             else:
                                 head = _header(data, at)
@@ -199,12 +213,18 @@ def walk(cut: DataFrame, starts: DataFrame, with_payload: bool = False) -> DataF
                 with _open(r["path"]) as f:
                     base, at, out = r["entry"], 0, []
                     data = _at(f, base, r["stop"] - base)
+                    if base and _at(f, base - len(END), len(END)) != END:
+                        raise ValueError(f"no empty line before offset {base} of {r['path']}")
                     while base + at < r["stop"]:
                         head = _header(data, at)
                         if head is None or head[1] + int(head[0]["content-length"]) > len(data):  # goes on after the range
-                            rest = _at(f, base + at, MAX_HEADER)
+                            rest = _head(f, base + at)
+                            if rest is None:
+                                break
                             head = _header(rest, 0)
-                            if head is None or base + at + head[1] + int(head[0]["content-length"]) > r["length"]:
+                            if head is None:
+                                raise ValueError(f"no record at offset {base + at} of {r['path']}")
+                            if base + at + head[1] + int(head[0]["content-length"]) > r["length"]:
                                 break
                             data, base, at = _at(f, base + at, head[1] + int(head[0]["content-length"]) + len(END)), base + at, 0
                         fields, body = head
@@ -220,6 +240,8 @@ def walk(cut: DataFrame, starts: DataFrame, with_payload: bool = False) -> DataF
                         row = {"path": r["path"], "offset": base + at, "record_type": kind, "record_id": fields.get("warc-record-id"), "refers_to": fields.get("warc-refers-to"), "target_uri": fields.get("warc-target-uri"), "payload_bytes": size, "payload_digest": digest, "digest_ok": digest == told}
                         out.append(row | ({"payload": payload} if with_payload else {}))
                         at = body + n + len(END)
+                        if not END.startswith(data[body + n : at]):
+                            raise ValueError(f"no empty line before offset {base + at} of {r['path']}")
                         if len(out) >= 256:
                             yield pa.RecordBatch.from_pylist(out, schema)
                             out = []

@@ -75,3 +75,22 @@ def test_a_cut_off_archive_ends_at_the_cut(spark, tmp_path):
     (tmp_path / "a.warc").write_bytes(whole.encode())
     got = warc.read(spark, str(tmp_path)).collect()
     assert [r.record_id for r in got] == ["<urn:streamspec:page:1:0>"]
+
+
+def test_headers_of_any_length(spark):
+    """Addresses over any step that a header is read in: no page is lost, nor any that follows."""
+    rows = [(i, "http://h/" + "u" * n, f"page {i}") for i, n in enumerate((5, 3_000_000, 7, 70_000, 1 << 20, 9))]
+    path = scratch(spark, "warc-test")
+    warc.write(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), path)
+    for size in (100_000, warc.RANGE):
+        got = warc.read(spark, path, size, with_payload=True).collect()
+        assert sorted((r.target_uri, bytes(r.payload).decode(), r.digest_ok) for r in got) == sorted((u, h, True) for _, u, h in rows)
+
+
+@pytest.mark.parametrize("between", ["junk\r\n\r\n", "WARC/1.1\r\nContent-Length: many\r\n\r\n"])
+def test_a_chain_that_breaks_within_a_file_is_an_error(spark, tmp_path, between):
+    one = "WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n"
+    (tmp_path / "a.warc").write_bytes((one + between + one).encode())
+    for size in (30, 1000):
+        with pytest.raises(Exception, match="no record at offset"):
+            warc.read(spark, str(tmp_path), size).collect()
