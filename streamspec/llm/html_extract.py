@@ -8,7 +8,9 @@ adverts, notices or reader comments). A small decision tree, grown from the labe
 
 Defined results: null, empty or text-free pages give the empty text; very long pages are read
 whole in one pass; unclosed, crossed and cut off tags are recovered from (what a cut off tag
-announced is dropped); repeated rows give equal rows; an empty table gives an empty one; further
+announced is dropped); hidden elements and fallback content count as text inside the article and
+are dropped elsewhere; names announce boilerplate as whole class names, or identifiers of
+containers, never on headings and on article elements outside comments; repeated rows give equal rows; an empty table gives an empty one; further
 columns are neither read nor returned.
 """
 
@@ -34,11 +36,15 @@ _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)
 _NAME = re.compile(r"[a-z0-9]+")
 
 #: Elements whose content is not text of the page, and elements without content.
-RAW = frozenset("script style noscript template iframe svg math title textarea xmp object canvas".split())
+RAW = frozenset("script style template iframe svg title textarea canvas".split())
 DROPPED = frozenset("head select button datalist audio video".split())
+#: Elements whose content is text only inside the article, as that of hidden elements.
+FALLBACK = frozenset("noscript object".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that do not end a block.
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark meter output progress q ruby rt rp s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark meter output progress q ruby rt rp s samp small span strike strong sub sup time tt u var wbr".split()) | FALLBACK
+MATH = frozenset("math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics annotation".split())
+INLINE |= MATH
 #: Elements and words in class, id and role that announce something else than the article.
 BOILER_TAGS = frozenset("nav footer aside form menu dialog fieldset".split())
 BOILER_NAMES = frozenset(
@@ -48,7 +54,12 @@ BOILER_NAMES = frozenset(
     "subscribe subscription tags teaser toolbar topbar tracking warning widget".split()
 )
 ARTICLE_NAMES = frozenset("article articlebody content entry main maincontent post prose story".split())
+#: What else a name that announces boilerplate may hold, besides numbers: others, such as category-legal, tell a topic.
+GENERIC = ARTICLE_NAMES | frozenset("area block body box container content group inner item items list outer page section site top widget wrap wrapper".split())
+COMMENT_NAMES = frozenset("comment comments commentlist disqus replies reply respond".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements of text, whose identifiers are anchors.
+ANCHORS = HEADINGS | frozenset("p pre blockquote li dt dd figure figcaption caption".split())
 #: A new element of the first kind closes an open one of the second.
 CLOSES = {"p": ("p",), "li": ("li",), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",)}
 
@@ -81,31 +92,54 @@ class _Open:
     link: bool
     hidden: bool
     label: int
+    comments: bool = False
+
+
+def _announced(token: str) -> frozenset[str]:
+    """The names of boilerplate that a whole class name or identifier consists of, empty where it tells anything else."""
+    parts = _NAME.findall(token)
+    joined = "".join(parts)
+    if joined in BOILER_NAMES or joined in COMMENT_NAMES:
+        return frozenset([joined])
+    own = BOILER_NAMES.intersection(parts)
+    return own if all(x in BOILER_NAMES or x in GENERIC or x.isdigit() for x in parts) else frozenset()
 
 
 def _opened(tag: str, attrs: str, up: _Open) -> _Open:
-    el = _Open(tag, up.article, up.boiler, up.header, up.heading or tag in HEADINGS, up.link or tag == "a", up.hidden or tag in DROPPED, up.label)
+    el = _Open(tag, up.article, up.boiler, up.header, up.heading or tag in HEADINGS, up.link or tag == "a", up.hidden or tag in DROPPED, up.label, up.comments)
     if tag in BOILER_TAGS:
         el.boiler = True
     elif tag == "header":
         el.header = True
     elif tag in ("article", "main"):
         el.article = True
+    concealed = tag in FALLBACK
     if attrs and not attrs.isspace():
-        names: set[str] = set()
+        tokens: list[str] = []
+        ids: list[str] = []
         for m in _ATTR.finditer(attrs):
             key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-            if key in ("class", "id", "role", "itemprop"):
-                names.update(_NAME.findall(value.lower()), ("".join(_NAME.findall(v)) for v in value.lower().split()))
+            if key in ("class", "role", "itemprop"):
+                tokens += value.lower().split()
+            elif key == "id":
+                ids += value.lower().split()
             elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-                el.hidden = True
+                concealed = True
             elif key == "y":
                 el.label = int(value)
-        if tag not in ("html", "body") and tag not in INLINE and names:
-            if names & BOILER_NAMES and not (tag == "main"):
+        if tag not in ("html", "body") and tag not in INLINE and tag not in HEADINGS and (tokens or ids):
+            if tag not in ANCHORS:
+                # Sections of an article have anchors, too.
+                tokens += [x for x in ids if tag != "section" or not up.article or _announced(x) & COMMENT_NAMES]
+            # The header of an article is part of it, whether an element or a name tells it.
+            told = frozenset().union(*map(_announced, tokens)) - ({"header"} if up.article else set())
+            el.comments = el.comments or bool(told & COMMENT_NAMES)
+            if told and tag != "main" and (tag != "article" or el.comments):
                 el.boiler = True
-            elif names & ARTICLE_NAMES:
+            elif any(not ARTICLE_NAMES.isdisjoint((*_NAME.findall(x), "".join(_NAME.findall(x)))) for x in tokens):
                 el.article = True
+    if concealed and not el.article:
+        el.hidden = True
     return el
 
 
@@ -153,6 +187,16 @@ def blocks(html: str) -> list[Block]:
                 close = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(html, at)
                 at = close.end() if close else n
             continue
+        if tag == "xmp":  # its content is text as it stands
+            flush()
+            close = re.compile(r"</xmp(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(html, at)
+            if not stack[-1].hidden:
+                piece = html[at : close.start() if close else n]
+                parts.append(piece.replace("&", "&amp;"))
+                linked += len(piece.split()) if stack[-1].link else 0
+            flush()
+            at = close.end() if close else n
+            continue
         if tag in ("br", "hr"):
             parts.append(" ")
             continue

@@ -66,3 +66,14 @@ def test_edge_cases(spark):
     got = {(r.page_id, r.n_chars) for r in h.extract(frame).collect()}
     assert got == {(1, 0), (2, 0), (None, 24), (3, 499_999), (3, 0)}
     assert h.extract(frame.limit(0)).count() == 0
+
+
+def test_names_inside_the_article_drop_nothing_of_it():
+    body = "one two three four five six seven eight nine ten."
+    assert h.main_text(f'<nav><a href=/>Home</a></nav><article class="post category-legal tag-social"><h1>T</h1><p>{body}</p></article>') == f"T {body}"
+    assert h.main_text(f'<article class="post"><header class="entry-header"><h1 class="entry-title">T</h1></header><p>{body}</p></article>') == f"T {body}"
+    page = f"""<nav><a href=/>Home</a></nav><article class="widget post"><h2 id="related-work" class="header">Related work</h2><section id="search"><p id="links">{body}</p></section>
+    <p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p><xmp>a <b> &amp; c</xmp><p hidden>more</p><p>an <span aria-hidden="true">icon</span></p>
+    <noscript>plain</noscript> <object>a chart</object><div class="post-navigation"><a href=2>Next</a></div><div class="ad-box">Buy now.</div><div id="share">Share</div></article>
+    <section id="comments"><article class="post"><p>{body}</p></article></section><article class="comment"><p>{body}</p></article><div hidden>gone</div><noscript>gone</noscript>"""
+    assert h.main_text(page) == f"Related work {body} so x=2 holds a <b> &amp; c more an icon plain a chart"
