@@ -13,7 +13,10 @@ Held-out accuracy at the threshold: on the labels of check_s all of 543 toxic do
 4,556 others are found; on those of sf0.1, with stems that occur once or never in the sample, 110 of
 120 and 7 of 870.
 
-Defined results: a null or empty text has no sentence and scores 0, offending span null; very long
+All sentences at or over SENTENCE_THRESHOLD are located, in the order of the text.
+
+Defined results: a text without evidence, such as a null or empty one, scores 0, its worst sentence
+is null and no sentence is located; very long
 texts are read whole, sentence by sentence; repeated rows get equal scores; among equal sentence
 scores the first is located; without usable labels no feature has a weight; an empty table gives
 an empty one; rows with null identifiers are scored, held_out is false, and they are never
@@ -40,6 +43,8 @@ PER_CLASS = 4000
 MAX_WEIGHTS = 50_000
 EPOCHS, ALPHA, L1 = 25, 2.0, 0.1
 THRESHOLD = 0.3
+#: A sentence is located as offending from this score on, whatever its document's score.
+SENTENCE_THRESHOLD = 0.1
 #: The logit that evidence starts from. A sentence without evidence scores 0, so length alone is none.
 BIAS = -9.0
 PLAIN = 1 / (1 + math.exp(-BIAS))
@@ -129,38 +134,47 @@ class Scorer:
 
     def __call__(self, text: str) -> tuple[float, int | None, int | None, float | None]:
         """The document's score, and place and score of the sentence that offends most."""
+        return self.located(text)[:4]
+
+    def located(self, text: str) -> tuple[float, int | None, int | None, float | None, list[tuple[int, int, float]]]:
+        """As a call, and place and score of all sentences at or over SENTENCE_THRESHOLD."""
         word = self.word
-        places = sentences(text)
-        if not places:
-            return 0.0, None, None, None
         told = set(filter(word, set(_WORD.findall(text))))
-        if not told:
-            return 0.0, *places[0], 0.0
-        left, best = 0.0, None
-        for a, b in places:
-            z = BIAS + sum(word(w) for w in told.intersection(_WORD.findall(text, a, b)))
+        left, best, offending = 0.0, (None, None, None), []
+        for a, b in sentences(text) if told else ():
+            own = told.intersection(_WORD.findall(text, a, b))
+            if not own:
+                continue
+            z = BIAS + sum(word(w) for w in sorted(own))
             p = max(0.0, (1 / (1 + math.exp(-min(35.0, z))) - PLAIN) / (1 - PLAIN))
             left += math.log1p(-min(p, 1 - 1e-12))
-            if best is None or p > best[2]:
+            if p > (best[2] or 0.0):
                 best = (a, b, p)
-        return -math.expm1(left), *best
+            if p >= SENTENCE_THRESHOLD:
+                offending.append((a, b, p))
+        return -math.expm1(left), *best, offending
+
+
+SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
 
 
 def score(docs: DataFrame, weights: dict[str, float], modulus: int = 4, held: int = 2, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, held_out, score, predicted, and the sentence that offends most, of every row."""
+    """doc_id, held_out, score, predicted, the sentence that offends most, and all that offend, of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)  # at most MAX_WEIGHTS features
 
     def make():
         one = Scorer(shared.value)
 
         def fn(batch):
-            rows = [one(t) for t in texts_of(batch.column(1))]
-            cols = list(zip(*rows, strict=True)) or [()] * 4
-            return {"doc_id": batch.column(0), **{n: list(c) for n, c in zip(("score", "worst_start", "worst_end", "worst_score"), cols, strict=True)}}
+            rows = [one.located(t) for t in texts_of(batch.column(1))]
+            cols = list(zip(*rows, strict=True)) or [()] * 5
+            out = {n: list(c) for n, c in zip(("score", "worst_start", "worst_end", "worst_score"), cols[:4], strict=True)}
+            spans = [[dict(zip(("start", "end", "score"), s, strict=True)) for s in own] for own in cols[4]]
+            return {"doc_id": batch.column(0), **out, "offending": pa.array(spans, SPANS)}
 
         return fn
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    out = map_rows(docs.select("doc_id", "text"), make, f"doc_id {kind}, score double, worst_start long, worst_end long, worst_score double")
+    out = map_rows(docs.select("doc_id", "text"), make, f"doc_id {kind}, score double, worst_start long, worst_end long, worst_score double, offending array<struct<start: long, end: long, score: double>>")
     held_out = F.coalesce(crc_bucket(F.col("doc_id"), modulus) == held, F.lit(False))
-    return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "worst_start", "worst_end", "worst_score")
+    return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "worst_start", "worst_end", "worst_score", "offending")

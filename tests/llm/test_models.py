@@ -81,6 +81,19 @@ def test_rare_toxic_words_are_learned_whatever_the_share_of_toxic_labels(clean_d
     assert score(f"{clean}. calm.")[0] == 0.0 and not toxicity.fit(rows[:200])
 
 
+def test_all_offending_sentences_are_located(spark):
+    clean = "the river runs under the bridge. birds sing in the early morning"
+    weights = toxicity.fit([(f"{clean}. numskull. {clean}", 1) for _ in range(30)] + [(f"{clean}. calm. {clean}", 0) for _ in range(60)])
+    text = f"{clean}. what a numskull. {clean}! Numskull, and you too. {clean}"
+    rows = spark.createDataFrame([(1, text), (2, clean), (3, None), (4, f"{text} {clean}. " * 50)], "doc_id long, text string")
+    got = {r.doc_id: r for r in toxicity.score(rows, weights).collect()}
+    spans = got[1].offending
+    assert [text[s.start : s.end].strip() for s in spans] == ["what a numskull.", "Numskull, and you too."]
+    assert all(toxicity.SENTENCE_THRESHOLD <= s.score <= got[1].worst_score <= got[1].score for s in spans)
+    assert (got[1].worst_start, got[1].worst_end) == (spans[0].start, spans[0].end) and len(got[4].offending) == 100
+    assert all(got[i].offending == [] and got[i].score == 0 and got[i].worst_start is None and got[i].worst_score is None for i in (2, 3))
+
+
 def test_edge_cases(edge, empty, spark):
     labels = spark.createDataFrame([(4, 1, 0), (5, 0, 1), (None, 1, 1), (7, None, None)], "doc_id long, quality int, toxic int")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
