@@ -140,12 +140,18 @@ def measurements(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return map_rows(src, make, f"`{id_col}` {kind}, " + ", ".join(f"{m} long" for m in MEASURES))
 
 
-def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Measurements and fail_bits, the bits of the rules that failed."""
+def failures(prefix: str = "") -> Column:
+    """The bits of the rules that failed, of columns of MEASURES with a prefix to their names."""
     bits = F.lit(0).cast("long")
     for i, rule in enumerate(RULES):
-        bits = bits.bitwiseOR(F.when(F.expr(rule.fails), F.lit(1 << i)).otherwise(F.lit(0)).cast("long"))
-    return measurements(docs, id_col, text_col).withColumn("fail_bits", bits)
+        fails = re.sub(r"\b(" + "|".join(MEASURES) + r")\b", rf"{prefix}\1", rule.fails)
+        bits = bits.bitwiseOR(F.when(F.expr(fails), F.lit(1 << i)).otherwise(F.lit(0)).cast("long"))
+    return bits
+
+
+def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Measurements and fail_bits, the bits of the rules that failed."""
+    return measurements(docs, id_col, text_col).withColumn("fail_bits", failures())
 
 
 def passes(policy: Policy, bits: Column | None = None) -> Column:
@@ -197,8 +203,5 @@ def keep_clean(docs: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
 
     schema = StructType([*docs.schema.fields, *(StructField(f"__{m}", LongType()) for m in MEASURES)])
     out = map_rows(docs, make, schema)
-    failed = F.lit(False)
-    for rule in RULES:
-        if rule.name in policy.rules or rule.name in BASE.rules:
-            failed = failed | F.expr(re.sub(r"\b(" + "|".join(MEASURES) + r")\b", r"__\1", rule.fails))
-    return out.where(~failed).select(*names)
+    bits = failures("__")
+    return out.where(passes(BASE, bits) & passes(policy, bits)).select(*names)

@@ -1,6 +1,8 @@
 import random
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from streamspec.llm import quality_rules as q
 
 
@@ -53,3 +55,8 @@ def test_keep_clean_is_the_verdict(docs, edge):
         got = q.keep_clean(d)
         assert got.columns == d.columns
         assert sorted(str(r.doc_id) for r in got.collect()) == want
+
+
+def test_the_stage_filters_by_the_bits_of_the_ledger(edge, monkeypatch):
+    monkeypatch.setattr(q, "failures", lambda prefix="": F.lit(0).cast("long"))
+    assert q.keep_clean(edge).count() == edge.count() == q.judged(edge).where("kept").count()
