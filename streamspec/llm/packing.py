@@ -6,6 +6,10 @@ the driver packs the counts (a table of at most ``capacity`` rows, whatever the
 patterns, each a bin and how often it is used, and every document finds its own place from its
 rank among the documents of its length.
 
+Ids are those of the ``tokenizers`` library with the vocabulary's settings as they are: a string that
+the file lists as an added token is that token, unless special_as_text. Very long texts are given to
+it in parts, cut where a match of its pattern always begins.
+
 Best-two-fit: a bin is filled greedily, largest document first; then its smallest document is
 replaced by two unpacked ones that fit the gap, widened by it, more tightly, as long as there are.
 
@@ -42,18 +46,18 @@ def _pieces(n: int, capacity: int) -> Iterator[tuple[int, int]]:
         yield start, capacity
 
 
-def tokenised(docs: DataFrame, ranks: str, pattern: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def tokenised(docs: DataFrame, vocabulary_path: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, special_as_text: bool = False) -> DataFrame:
     """A row for each piece: identifier, piece, start, length, ids_crc32, and part and rank, its place
     among the pieces of its length in its task; with_ids adds the ids themselves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part, seen = vocabulary.encoding(ranks, pattern), TaskContext.get().partitionId(), Counter()
+        tokenizer, part, seen = vocabulary.tokenizer(vocabulary_path, special_as_text), TaskContext.get().partitionId(), Counter()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 rows = batch.slice(at, 256)
                 source, cols = [], {k: [] for k in ("piece", "start", "length", "ids_crc32", "rank", *(["ids"] * with_ids))}
-                for i, text in enumerate(texts_of(rows.column(1))):
-                    ids = np.array([*vocabulary.encode(enc, pattern, text), end_id], "<u4")
+                for i, own_ids in enumerate(vocabulary.token_ids(tokenizer, texts_of(rows.column(1)))):
+                    ids = np.array([*own_ids, end_id], "<u4")
                     for k, (start, length) in enumerate(_pieces(len(ids), capacity)):
                         source.append(i)
                         own = ids[start : start + length]
@@ -166,9 +170,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return pieces.join(starts, ["length", "part"]).select(*names, "rank", "before").mapInArrow(place, schema)
 
 
-def packed(docs: DataFrame, ranks: str, pattern: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
+def packed(docs: DataFrame, vocabulary_path: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False, special_as_text: bool = False) -> DataFrame:
     """Pieces of docs and their places in sequences."""
-    return pack(materialise(tokenised(docs, ranks, pattern, capacity, end_id, with_ids=with_ids), "pieces"), capacity)
+    return pack(materialise(tokenised(docs, vocabulary_path, capacity, end_id, with_ids=with_ids, special_as_text=special_as_text), "pieces"), capacity)
 
 
 def sequences(placed: DataFrame) -> DataFrame:

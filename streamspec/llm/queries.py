@@ -56,8 +56,9 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rank file is the vocabulary of byte_bpe_50k.json, and its ids are the same."""
-    out = packing.packed(_table(spark, sf_dir, "documents"), *_ranks())
+    import public_tokenizers
+
+    out = packing.packed(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 

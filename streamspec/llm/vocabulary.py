@@ -1,14 +1,16 @@
-"""Byte-level BPE vocabularies from rank files. Nothing is trained here; files are read where they are."""
+"""Byte-level BPE vocabularies from files. Nothing is trained here; files are read where they are."""
 
 from __future__ import annotations
 
 import base64
 import functools
+import os
 import re
 from collections.abc import Callable
 
 import regex
 import tiktoken
+import tokenizers
 
 
 @functools.lru_cache(maxsize=2)
@@ -19,42 +21,104 @@ def encoding(path: str, pattern: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+@functools.lru_cache(maxsize=2)
+def tokenizer(path: str, special_as_text: bool = False) -> tokenizers.Tokenizer:
+    """The tokenizer of a JSON file, once in each process. It uses the thread that calls it alone."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    out = tokenizers.Tokenizer.from_file(path)
+    out.encode_special_tokens = special_as_text
+    return out
+
+
+#: Characters that a tokenizer is given at once, about, since its results take many times their room.
+PART = 1 << 20
+#: A space between two characters that are not white space, at which a match of the pattern always
+#: begins and which no special token holds.
+_CUT = re.compile(r"(?<=\S) (?=\S)")
+
+
+def parts(text: str, size: int = PART) -> list[str]:
+    """A text in parts whose ids, one after another, are those of the text."""
+    out, at = [], 0
+    while len(text) - at > size and (m := _CUT.search(text, at + size)):
+        out.append(text[at : m.start()])
+        at = m.start()
+    return [*out, text[at:]]
+
+
+def token_ids(own: tokenizers.Tokenizer, texts: list[str]) -> list[list[int]]:
+    """The ids of texts, without special tokens around them."""
+    cut = [parts(t) for t in texts]
+    flat, size, made = [p for own_parts in cut for p in own_parts], 0, []
+    start = 0
+    for end in range(1, len(flat) + 1):
+        size += len(flat[end - 1])
+        if size >= PART or end == len(flat):
+            made += [e.ids for e in own.encode_batch_fast(flat[start:end], add_special_tokens=False)]
+            start, size = end, 0
+    ids = iter(made)
+    return [next(ids) if len(own_parts) == 1 else [i for _ in own_parts for i in next(ids)] for own_parts in cut]
+
+
 #: The letters, numbers and white space among the first 256 code points.
 _LETTERS, _NUMBERS, _SPACES = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾", r" \t\n\x0b\x0c\r\x85\xa0"
+#: Stand-ins for the classes of characters: letters, numbers, white space, all others. No pattern
+#: tells them from others of their classes in the places where they are put.
+_STAND_INS = "a0\t!"
+
+
+class Classes:
+    """The classes that the library gives characters, by asking it.
+
+    Its Unicode data are its own. Two characters of one class are one match of the pattern below;
+    pairs of a class's stand-in and any byte are tokens, so that the first token tells.
+    """
+
+    def __init__(self) -> None:
+        ranks = {bytes([i]): i for i in range(256)}
+        for c in b"a0!":
+            ranks |= {bytes([c, i]): len(ranks) + i for i in range(256)}
+        self._own = tiktoken.Encoding("classes", pat_str=r"\p{L}+|\p{N}+|[^\s\p{L}\p{N}]+|\s+", mergeable_ranks=ranks, special_tokens={})
+        self._seen: set[str] = set()
+        #: For characters that the regex module classes otherwise: the stand-in of their class.
+        self.other: dict[int, str] = {}
+
+    def of(self, char: str) -> str:
+        """The stand-in of the class of a character."""
+        return next((c for c in "a0!" if self._own.encode_ordinary(c + char)[0] >= 256), "\t")
+
+    def learn(self, chars: set[str]) -> None:
+        for c in chars - self._seen:
+            here = next((s for s, p in zip(_STAND_INS, (r"\p{L}", r"\p{N}", r"\s"), strict=False) if regex.match(p, c)), "!")
+            told = self.of(c)
+            if told != here:
+                self.other[ord(c)] = told
+        self._seen |= chars
 
 
 @functools.lru_cache(maxsize=2)
 def splitter(pattern: str) -> Callable[[str], list[str]]:
-    """The matches of a pattern. Texts of the first 256 code points, which are most, are split by
-    the standard library, twice as fast, with Unicode's classes written out."""
-    general = regex.compile(pattern).findall
+    """The matches of a pattern of letters, numbers, white space and single characters, as the
+    library finds them. Texts of the first 256 code points, which are most, are split by the standard
+    library, twice as fast, with Unicode's classes written out; others by the regex module, in which
+    characters that it classes otherwise than the library give way to stand-ins."""
+    general = regex.compile(pattern)
+    classes = Classes()
     narrow = pattern.replace(r"[^\s\p{L}\p{N}]", f"[^{_SPACES}{_LETTERS}{_NUMBERS}]").replace(r"\p{L}", f"[{_LETTERS}]").replace(r"\p{N}", f"[{_NUMBERS}]")
     narrow = narrow.replace(r"\s", f"[{_SPACES}]").replace(r"\S", f"[^{_SPACES}]")
     if r"\p" in narrow:
-        return general
+        raise ValueError("patterns may only tell letters, numbers and white space")
     latin = re.compile(narrow).findall
 
     def split(text: str) -> list[str]:
         try:
             text.encode("latin-1")
         except UnicodeEncodeError:
-            return general(text)
+            chars = set(text)
+            classes.learn(chars)
+            if any(ord(c) in classes.other for c in chars):
+                return [text[m.start() : m.end()] for m in general.finditer(text.translate(classes.other))]
+            return general.findall(text)
         return latin(text)
 
     return split
-
-
-def encode_piece(enc: tiktoken.Encoding, piece: str) -> list[int]:
-    """The ids of one match of the pattern."""
-    return enc._core_bpe.encode_single_piece(piece.encode())
-
-
-def encode(enc: tiktoken.Encoding, pattern: str, text: str) -> list[int]:
-    """The ids of a text; strings of special tokens are ordinary text. Texts that the library's own
-    splitting gives up on, such as a million spaces, are split here."""
-    try:
-        return enc.encode_ordinary(text)
-    except BaseException as e:  # the library's panics are no ordinary exceptions
-        if isinstance(e, (KeyboardInterrupt, SystemExit, MemoryError)):
-            raise
-        return [i for piece in splitter(pattern)(text) for i in encode_piece(enc, piece)]

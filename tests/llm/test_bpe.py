@@ -6,7 +6,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from streamspec.llm import bpe
+from streamspec.llm import bpe, vocabulary
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
@@ -51,6 +51,23 @@ def test_edge_cases(edge, empty, library):
     assert all(r.bytes is None for r in bpe.decode(nulls, *RANKS).collect())
 
 
+@pytest.mark.parametrize("context", ["{}", "a{}b", "1{}2", " {} ", "!{}?", "\n{}\n", "'{}'s", "漢{}漢", "x {}y  {}"])
+def test_every_code_point_is_split_as_the_library_does(library, context):
+    """All code points in several contexts, many of them in one text."""
+    split = vocabulary.splitter(RANKS[1])
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(points), 4096):
+        text = "\n".join(context.format(c, c) for c in points[at : at + 4096])
+        ids = [i for piece in split(text) for i in library._core_bpe.encode_single_piece(piece.encode())]
+        assert ids == library.encode_ordinary(text), hex(at)
+
+
+def test_new_letters_through_the_query(spark, library):
+    texts = ["a\U00011db6b \u1c8a\u1c89 \U0001d7d9\u0378", "\x1ca\x1f 1\U00011de0" + "漢" * 3]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.ids for r in bpe.encode(frame, *RANKS).collect()} == {i: library.encode_ordinary(t) for i, t in enumerate(texts)}
+
+
 def test_planes():
     import numpy as np
 

@@ -6,16 +6,14 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from streamspec.llm import packing
+from streamspec.llm import packing, vocabulary
 
-RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(PATH)
 
 
 def check(rows, texts, tokenizer, capacity=1024):
@@ -43,7 +41,7 @@ def check(rows, texts, tokenizer, capacity=1024):
 
 
 def test_generated(docs, tokenizer):
-    rows = packing.packed(docs, *RANKS).collect()
+    rows = packing.packed(docs, PATH).collect()
     n, total = check(rows, [(r.doc_id, r.text) for r in docs.collect()], tokenizer)
     assert n <= 1.03 * -(-total // 1024) + 1
 
@@ -51,18 +49,38 @@ def test_generated(docs, tokenizer):
 def test_edge_cases(edge, empty, tokenizer):
     from tests.llm.conftest import EDGE
 
-    rows = packing.packed(edge, *RANKS).collect()
+    rows = packing.packed(edge, PATH).collect()
     single = [r for r in rows if r.doc_id != 4]
     assert len([r for r in rows if r.doc_id == 4]) == 2
     assert sorted(str(r.doc_id) for r in single if r.piece == 0) == sorted(str(d) for d, _ in EDGE if d != 4)
     n = {d: len(tokenizer.encode(t or "", add_special_tokens=False).ids) + 1 for d, t in EDGE}
     for d, total in n.items():
         assert sum(r.length for r in rows if r.doc_id == d) == total * (2 if d == 4 else 1)
-    assert packing.packed(empty, *RANKS).count() == 0
+    assert packing.packed(empty, PATH).count() == 0
+
+
+def test_special_tokens_and_unusual_texts(spark, tokenizer):
+    texts = ["a<|endoftext|>b", "<|endoftext|>", "<|endoftext|> <|endoftext", " " * 20_000, "\n" * 5000 + "x", "\U00011db6\u0378 ٣\u1c8a\U0001f9ff", "a\x1cb\x1f c\x85d"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    check(packing.packed(frame, PATH).collect(), list(enumerate(texts)), tokenizer)
+    assert 50256 in tokenizer.encode(texts[0], add_special_tokens=False).ids
+    plain = Tokenizer.from_file(PATH)
+    plain.encode_special_tokens = True
+    check(packing.packed(frame, PATH, special_as_text=True).collect(), list(enumerate(texts)), plain)
+
+
+def test_long_texts_in_parts(tokenizer):
+    r = random.Random(1)
+    for _ in range(200):
+        text = "".join(r.choice(["a", "1", "!", "'s", " ", "  ", "\n", "\t", "\xa0", "漢", "\x1c", "<|endoftext|>"]) for _ in range(60))
+        cut = vocabulary.parts(text, 7)
+        assert "".join(cut) == text
+        assert [i for p in cut for i in tokenizer.encode(p, add_special_tokens=False).ids] == tokenizer.encode(text, add_special_tokens=False).ids
+    assert len(vocabulary.parts("word " * 1000, 100)) > 40
 
 
 def test_sequences_hold_the_ids(docs, tokenizer):
-    placed = packing.packed(docs, *RANKS, with_ids=True).cache()
+    placed = packing.packed(docs, PATH, with_ids=True).cache()
     made = {r.sequence_id: r.ids for r in packing.sequences(placed).collect()}
     for r in placed.collect():
         assert made[r.sequence_id][r.offset : r.offset + r.length] == r.ids
