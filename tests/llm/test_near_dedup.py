@@ -68,11 +68,51 @@ def test_groups_of_near_copies(spark):
     assert found(frame, k=4) == brute(rows, 4, 80)
 
 
-def test_large_clusters_are_cut_into_cells(spark, monkeypatch):
-    monkeypatch.setattr(nd, "BLOCK", 40_000)  # 20 documents a block
-    rows = list(enumerate(near_copies(150, 140, 14, 5)))
+@pytest.mark.parametrize("percent", [50, 65, 80])
+@pytest.mark.parametrize("block", [20_000, 40_000, 10**9])  # 10 and 20 documents a block, all in one
+def test_large_clusters_are_cut_into_cells(spark, monkeypatch, percent, block):
+    """Copies of one text, of two texts that are not linked or hardly are, and a chain of texts."""
+    monkeypatch.setattr(nd, "BLOCK", block)
+    monkeypatch.setattr(nd, "SPREAD", 2)
+    a = near_copies(60, 140, 14, 5)
+    half = a[0].split()
+    b = [" ".join(t.split()[:105] + [f"z{i}" for i in range(35)]) for t in near_copies(40, 140, 6, 5)]
+    chain = [" ".join(f"c{j}" for j in range(5 * i, 5 * i + 120)) for i in range(40)]
+    lone = [" ".join(half[: 118 - i] + [f"q{i}_{j}" for j in range(22 + i)]) for i in range(12)]
+    rows = list(enumerate(a + b + chain + lone))
     frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    assert found(frame, k=4) == brute(rows, 4, 80)
+    assert found(frame, k=4, percent=percent) == brute(rows, 4, percent)
+
+
+@pytest.mark.parametrize("percent", [50, 65, 80, 95])
+def test_any_threshold(spark, docs, percent):
+    r = random.Random(percent)
+    texts = [t for s in range(20) for t in near_copies(12, 60, r.randint(1, 16), s)]
+    rows = list(enumerate(texts))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert found(frame, k=3, percent=percent) == brute(rows, 3, percent)
+    assert (1 - (percent / 100) ** nd.bands(percent)[1]) ** nd.bands(percent)[0] <= nd.MISS
+
+
+def test_the_work_of_one_large_cluster_is_linear(spark, monkeypatch):
+    """Copies that are similar to the original alone: pairs looked at follow the number of copies."""
+    base = [f"w{i}" for i in range(200)]
+    r, looked = random.Random(1), []
+    own = nd.likelihood
+    monkeypatch.setattr(nd, "likelihood", lambda equal, *a: (looked.append(len(equal)), own(equal, *a))[1])
+    sets = []
+    for _ in range(300):
+        w = list(base)
+        at = r.randrange(180)
+        w[at : at + 12] = [f"x{r.randrange(10**6)}" for _ in range(12)]
+        sets.append(nd.shingles([x.encode() for x in w], 4))
+    lead = nd.shingles([x.encode() for x in base], 4)
+    far = nd.distances([*sets, lead], lead)
+    for i in (0, 17, 299):
+        assert abs(far[i] - (1 - len(np.intersect1d(sets[i], lead)) / len(np.union1d(sets[i], lead)))) < 1e-12
+    known = [(i, 300) for i in range(300) if nd.linked(sets[i], lead, 80)]
+    assert len(known) == 300 and far[-1] == 0
+    assert len(nd.forest([*sets, lead], nd.sketch([*sets, lead]), 80, known)) == 300 and not looked
 
 
 def test_edge_cases(edge, empty):

@@ -1,4 +1,6 @@
 import base64
+import datetime
+import decimal
 import hashlib
 from collections import defaultdict
 
@@ -69,12 +71,45 @@ def test_empty(spark):
     assert warc.round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
-def test_a_cut_off_archive_ends_at_the_cut(spark, tmp_path):
+@pytest.mark.parametrize("tail", ["cut", "WARC/1.1\r\nWARC-Type: response\r\nContent-Le"])
+def test_a_cut_off_archive_is_an_error(spark, tmp_path, tail):
     head = "WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:streamspec:page:{}:0>\r\nContent-Length: {}\r\n\r\n"
-    whole = head.format(1, 5) + "hello\r\n\r\n" + head.format(2, 50) + "cut"
+    whole = head.format(1, 5) + "hello\r\n\r\n" + (head.format(2, 50) if tail == "cut" else "") + tail
     (tmp_path / "a.warc").write_bytes(whole.encode())
-    got = warc.read(spark, str(tmp_path)).collect()
-    assert [r.record_id for r in got] == ["<urn:streamspec:page:1:0>"]
+    for size in (40, 1000):
+        with pytest.raises(Exception, match="cuts off the record"):
+            warc.read(spark, str(tmp_path), size).collect()
+
+
+def test_jumps_over_many_ranges(spark):
+    """Every table takes the way over candidates and jumps, here with dozens of ranges a file."""
+    frame = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    path = scratch(spark, "warc-test")
+    warc.write(frame, path)
+    _, _, most = warc.ranges(spark, path, warc.RANGE)
+    assert most > 4
+    rows = warc.round_trip(frame).collect()
+    check(rows, [(r.page_id, r.html) for r in frame.collect()])
+
+
+@pytest.mark.parametrize(
+    "kind,ids",
+    [
+        ("string", ["a:b", "", "é >\r\nx", None, "1", "01"]),
+        ("date", [datetime.date(2024, 1, 2), None, datetime.date(1, 1, 1)]),
+        ("binary", [b"", b"\x00:", b"\xff", None]),
+        ("decimal(20,3)", [decimal.Decimal("12.500"), decimal.Decimal("-1.000"), None]),
+    ],
+)
+def test_identifiers_keep_their_type(spark, kind, ids):
+    rows = [(i, "u", f"page {k % 2}", "a", "b", 1, "c") for k, i in enumerate(ids)]
+    frame = spark.createDataFrame(rows, f"page_id {kind}, url string, html string, digest string, first string, bytes int, at string")
+    got = warc.round_trip(frame)
+    assert got.schema["page_id"].dataType == frame.schema["page_id"].dataType == got.schema["refers_to"].dataType
+    value = lambda x: bytes(x) if isinstance(x, bytearray) else x
+    assert sorted(map(repr, (value(r.page_id) for r in got.collect()))) == sorted(map(repr, ids))
+    named = sorted(i for k, i in enumerate(ids) if i is not None and k % 2 == 0)
+    assert all(value(r.refers_to) in (named[0], min((i for k, i in enumerate(ids) if i is not None and k % 2), default=None)) for r in got.collect() if r.record_type == "revisit")
 
 
 def test_headers_of_any_length(spark):
