@@ -1,10 +1,12 @@
 """Main text of web pages: flat text blocks, features of the block and its neighbours, a decision tree.
 
 A page is cut into flat blocks of text at block-level tags. A block is described by its number of
-words and the share of them inside links, the same of the blocks before and after it, and by what
-encloses it (article or main elements, elements and class names that announce menus, headers,
-adverts, notices or reader comments). A small decision tree, grown from the labelled table of
-``html_training``, keeps the blocks of the article.
+words and the share of them inside links, and the same of the blocks before and after it. A small
+decision tree, grown from the labelled table of ``html_training``, keeps the blocks of the article.
+What encloses a block (article or main elements, elements and class names that announce menus,
+headers, adverts, notices or reader comments) is a hint to the tree: a split by a hint counts half
+of what it gains, so that words and links decide wherever they can, and hints tell apart blocks that
+look alike, such as a headline and an advert of eight words each.
 
 Defined results: null, empty or text-free pages give the empty text; very long pages are read
 whole in one pass; unclosed, crossed and cut off tags are recovered from (what a cut off tag
@@ -58,12 +60,16 @@ ARTICLE_NAMES = frozenset("article articlebody content entry main maincontent po
 GENERIC = ARTICLE_NAMES | frozenset("area block body box container content group inner item items list outer page section site top widget wrap wrapper".split())
 COMMENT_NAMES = frozenset("comment comments commentlist disqus replies reply respond".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Whole class names that cut an inline element out of its block: other names on inline elements tell nothing of it.
+ADVERT_NAMES = frozenset("ad ads advert adverts advertisement sponsor sponsored promo promoted promotion".split())
 #: Elements of text, whose identifiers are anchors.
 ANCHORS = HEADINGS | frozenset("p pre blockquote li dt dd figure figcaption caption".split())
 #: A new element of the first kind closes an open one of the second.
 CLOSES = {"p": ("p",), "li": ("li",), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",)}
 
-FEATURES = ("words", "link_density", "prev_words", "prev_link_density", "next_words", "next_link_density", "in_article", "page_has_article", "in_boiler", "in_header", "heading", "full_stop")
+FEATURES = ("words", "link_density", "prev_words", "prev_link_density", "next_words", "next_link_density", "in_article", "outside_article", "in_boiler", "in_header", "heading")
+#: Features from this on are hints, and what their splits gain counts so much.
+HINTS, HINT_WEIGHT = 6, 0.5
 
 
 @dataclass
@@ -93,6 +99,7 @@ class _Open:
     hidden: bool
     label: int
     comments: bool = False
+    cut: bool = False
 
 
 def _announced(token: str) -> frozenset[str]:
@@ -127,6 +134,8 @@ def _opened(tag: str, attrs: str, up: _Open) -> _Open:
                 concealed = True
             elif key == "y":
                 el.label = int(value)
+        if tag in INLINE and tag not in FALLBACK and not ADVERT_NAMES.isdisjoint(tokens):
+            el.boiler = True
         if tag not in ("html", "body") and tag not in INLINE and tag not in HEADINGS and (tokens or ids):
             if tag not in ANCHORS:
                 # Sections of an article have anchors, too.
@@ -177,7 +186,7 @@ def blocks(html: str) -> list[Block]:
         tag, closing = name.lower(), bool(m[1] or m[4])
         if closing:
             if any(e.tag == tag for e in stack):
-                if tag not in INLINE:
+                if tag not in INLINE or any(e.cut for e in stack[max(i for i, e in enumerate(stack) if e.tag == tag) :]):
                     flush()
                 while stack.pop().tag != tag:
                     pass
@@ -212,7 +221,11 @@ def blocks(html: str) -> list[Block]:
                     break
                 if e.tag not in INLINE and e.tag != "p":
                     break
-        stack.append(_opened(tag, m[3] or m[6] or "", stack[-1]))
+        el = _opened(tag, m[3] or m[6] or "", stack[-1])
+        if tag in INLINE and el.boiler != stack[-1].boiler:
+            flush()
+            el.cut = True
+        stack.append(el)
     flush()
     return out
 
@@ -225,36 +238,37 @@ def features(page: list[Block]) -> list[tuple[float, ...]]:
     for i, b in enumerate(page):
         before = size[i - 1] if i else (0.0, 0.0)
         after = size[i + 1] if i + 1 < len(page) else (0.0, 0.0)
-        out.append((*size[i], *before, *after, float(b.article), float(has), float(b.boiler), float(b.header), float(b.heading), float(b.text[-1] in ".!?:…\"'”»")))
+        out.append((*size[i], *before, *after, float(b.article), float(has and not b.article), float(b.boiler), float(b.header), float(b.heading)))
     return out
 
 
 Node = tuple  # (probability,) or (feature, threshold, below or equal, above)
 
 
-def grow(rows: list[tuple[tuple[float, ...], int]], depth: int = 8) -> Node:
-    """A decision tree by Gini impurity; ties go to the later feature, then the lower threshold,
-    so that what encloses a block decides before lengths do."""
+def grow(rows: list[tuple[tuple[float, ...], int]], depth: int = 12, least: int = 6) -> Node:
+    """A decision tree by Gini impurity, hints at HINT_WEIGHT, with at least so many rows on each side
+    of a test; ties go to the earlier feature, then the lower threshold."""
     ones = sum(y for _, y in rows)
     if depth == 0 or ones in (0, len(rows)):
         return (ones / max(1, len(rows)),)
+    whole = ones * (len(rows) - ones) / len(rows)
     best: tuple | None = None
-    for f in reversed(range(len(rows[0][0]))):
-        order = sorted(rows, key=lambda r: r[0][f])
+    for f in range(len(rows[0][0])):
+        order = sorted((r[f], y) for r, y in rows)
         left = 0
         for i in range(len(order) - 1):
             left += order[i][1]
-            a, b = order[i][0][f], order[i + 1][0][f]
-            if a < b:
-                nl, nr = i + 1, len(order) - i - 1
+            a, b = order[i][0], order[i + 1][0]
+            nl, nr = i + 1, len(order) - i - 1
+            if a < b and nl >= least and nr >= least:
                 right = ones - left
-                impurity = left * (nl - left) / nl + right * (nr - right) / nr
-                if best is None or impurity < best[0] - 1e-9:
-                    best = (impurity, f, (a + b) / 2)
+                gain = (whole - left * (nl - left) / nl - right * (nr - right) / nr) * (HINT_WEIGHT if f >= HINTS else 1)
+                if best is None or gain > best[0] + 1e-9:
+                    best = (gain, f, (a + b) / 2)
     if best is None:
         return (ones / len(rows),)
     _, f, t = best
-    return (f, t, grow([r for r in rows if r[0][f] <= t], depth - 1), grow([r for r in rows if r[0][f] > t], depth - 1))
+    return (f, t, *(grow([r for r in rows if (r[0][f] <= t) == low], depth - 1, least) for low in (True, False)))
 
 
 @functools.cache
@@ -267,6 +281,14 @@ def tree() -> Node:
     return grow(rows)
 
 
+def printed(node: Node, indent: str = "") -> str:
+    """A tree as text, a line for each test and leaf."""
+    if len(node) == 1:
+        return f"{indent}{node[0]:.2f}\n"
+    f, t, low, high = node
+    return f"{indent}{FEATURES[f]} <= {t:g}\n{printed(low, indent + '  ')}{indent}else\n{printed(high, indent + '  ')}"
+
+
 def probability(node: Node, row: tuple[float, ...]) -> float:
     while len(node) > 1:
         node = node[2] if row[node[0]] <= node[1] else node[3]
@@ -282,9 +304,9 @@ def main_text(html: str, node: Node | None = None) -> str:
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """page_id, url, text and n_chars of every page."""
 
-    def make():
-        node = tree()
+    node = tree()  # grown once, a few hundred tests
 
+    def make():
         def fn(batch):
             texts = [main_text(h, node) for h in texts_of(batch.column(2))]
             return {"page_id": batch.column(0), "url": batch.column(1), "text": texts, "n_chars": list(map(len, texts))}

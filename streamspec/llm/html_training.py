@@ -1,11 +1,13 @@
 """The labelled table of the main-text classifier.
 
 Each page is a skeleton: ``{n}`` stands for n words, ``{n.}`` for n words that end in a full stop,
-``{n@}`` for n words inside a link. Elements with ``y=1`` are main text, all others are not.
+``{n@}`` for n words inside a link. Elements with ``y=1`` are main text, all others are not. Some
+skeletons are written out, others are drawn from kinds of pages.
 """
 
 from __future__ import annotations
 
+import random
 import re
 
 SKELETONS: tuple[str, ...] = (
@@ -44,6 +46,64 @@ SKELETONS: tuple[str, ...] = (
 #: Words that fill the skeletons; only their number matters.
 _FILL = ("stone", "river", "under", "the", "bright", "morning", "walks", "and", "early", "birds", "sing", "softly")
 
+#: Pages of each kind that are drawn, and where their drawing starts.
+DRAWN, SEED = 500, 7
+_BOILER = ("class=ad", "class=cookie-notice", "class=sidebar", "class=footer", "class=banner", "class=newsletter", "class=widget", "id=related", "class=disclaimer", "class=comments")
+
+
+def _menu(r: random.Random) -> str:
+    items = "".join(f"<li>{{{r.randint(1, 4)}@}}</li>" for _ in range(r.randint(3, 8)))
+    return r.choice((f"<nav><ul>{items}</ul></nav>", f"<ul>{items}</ul>", f"<div>{items.replace('li>', 'p>')}</div>"))
+
+
+def _text(r: random.Random, y: str, rare: bool = True) -> str:
+    """Paragraphs of any length; a short or linked one between others is text as well."""
+    out, n = [], r.randint(3, 9)
+    for i in range(n):
+        words = r.choice((r.randint(1, 6), r.randint(12, 40), r.randint(25, 160), r.randint(25, 160)))
+        inner = 0 < i < n - 1
+        if not rare and (not inner or out[-1][1] < 12):
+            words = max(words, 20)
+        link = inner and out[-1][1] > 8 and words < 9 and r.random() < 0.3
+        out.append((f"<p{y}>{{{words}@}}</p>" if link else f"<p{y}>{{{words}.}} {{{r.randint(1, 3)}@}}</p>" if words > 30 and r.random() < 0.3 else f"<p{y}>{{{words}.}}</p>", 20 if link else words))
+    return "".join(x for x, _ in out)
+
+
+def drawn() -> list[str]:
+    """Skeletons drawn from kinds of pages, always the same ones."""
+    r, out = random.Random(SEED), []
+
+    def other() -> str:
+        """Something that names announce, of up to 40 words."""
+        tag, attr = r.choice((("aside", ""), ("div", " class=ad"), ("div", " class=share"), ("form", ""), ("div", " class=newsletter"), ("div", " id=related")))
+        return f"<{tag}{attr} y=0>{{{r.randint(1, 40)}.}}</{tag}>"
+
+    def named() -> str:
+        return f"<div {r.choice(_BOILER)}>{{{r.randint(2, 60)}.}}</div>"
+
+    def maybe(share: float, text: str) -> str:
+        return text if r.random() < share else ""
+
+    for _ in range(DRAWN):
+        # an article element, whatever its blocks look like, with a list of links in some, and comments
+        see = maybe(0.3, "<div y=0>" + "".join(f"<p>{{{r.randint(1, 4)}@}}</p>" for _ in range(r.randint(5, 9))) + "</div>")
+        last = "" if see else maybe(0.4, f"<p>{{{r.randint(1, 6)}.}}</p>")
+        text = maybe(0.9, f"<h1>{{{r.randint(1, 14)}}}</h1>") + maybe(0.2, f"<p>{{{r.randint(1, 9)}@}}</p>") + _text(r, "") + maybe(0.4, other() + _text(r, "")) + see + last
+        text = r.choice((text, text, text, f"<h1>{{{r.randint(1, 14)}}}</h1>", f"<p>{{{r.randint(1, 90)}.}}</p>"))
+        said = "".join(f"<article class=comment><p>{{{r.randint(1, 50)}.}}</p></article>" for _ in range(r.randint(1, 4)))
+        article = r.choice((f"<article y=1>{text}</article>", f"<main y=1>{text}</main>", f"<main><article y=1>{text}</article></main>", f"<div {r.choice(('class=content', 'id=main-content', 'class=post-body', 'class=entry'))} y=1>{text}</div>"))
+        article += maybe(0.3, f"<section id=comments><h2>{{{r.randint(1, 3)}}}</h2>{said}</section>")
+        end = r.choice(("", named(), f"<footer>{{{r.randint(2, 40)}.}}</footer>", f"<div>{{{r.randint(2, 40)}.}}</div>", f"<div>{{{r.randint(1, 4)}@}}</div>", _menu(r)))
+        start = r.choice((named(), named(), "", "", f"<div>{{{r.randint(2, 40)}.}}</div>"))
+        out.append(maybe(0.6, _menu(r)) + start + article + end)
+        # no hint, or one that misleads: long text between long text
+        name = r.choice(("", "", "class=layout", "class=widget", "id=sidebar", "class=banner"))
+        out.append(_menu(r) + f"<h1 y=1>{{{r.randint(2, 12)}}}</h1><div {name}>{_text(r, ' y=1', rare=False)}</div>" + r.choice((_menu(r), f"<p>{{{r.randint(1, 4)}}}</p>", f"<div>{{{r.randint(1, 4)}@}}</div>")))
+        # names that announce something else, with too little text to be text
+        out.append(_menu(r) + f"<div {r.choice(_BOILER)}>{{{r.randint(2, 16)}.}}</div>" + maybe(0.5, _menu(r)) + f"<p y=1>{{{r.randint(30, 90)}.}}</p><p y=1>{{{r.randint(20, 90)}.}}</p>" + r.choice((_menu(r), f"<div {r.choice(_BOILER)}>{{{r.randint(2, 16)}.}}</div>")))
+        out.append(f"<p y=1>{{{r.randint(8, 120)}.}}</p>")
+    return out
+
 
 def pages() -> list[str]:
     """The labelled pages as HTML."""
@@ -53,4 +113,4 @@ def pages() -> list[str]:
         words = " ".join(_FILL[i % len(_FILL)] for i in range(n))
         return f"<a href=#>{words}</a>" if m[2] == "@" else words + m[2]
 
-    return ["<html><head><title>x</title></head><body>" + re.sub(r"\{(\d+)([@.]?)\}", fill, s) + "</body></html>" for s in SKELETONS]
+    return ["<html><head><title>x</title></head><body>" + re.sub(r"\{(\d+)([@.]?)\}", fill, s) + "</body></html>" for s in (*SKELETONS, *drawn())]
