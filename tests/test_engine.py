@@ -29,12 +29,12 @@ def test_case(name):
     source, data, wanted = CASES[name]
     monitor = Monitor(source)
     rows, start = events(monitor.spec, data)
-    found: dict[str, list[str]] = {}
+    found: dict[str, list[float]] = {}
     updates = [monitor.accept_event(v, ts) for ts, v in rows]
     updates.append(monitor.accept_time(rows[-1][0], including=True))
     for u in updates:
         for ts, _, m in u.triggers:
-            found.setdefault(m, []).append(f"{(start + ts) // 10**9}.{(start + ts) % 10**9:09d}")
+            found.setdefault(m, []).append((start + ts) / 10**6)
     assert {m: len(x) for m, x in found.items()} == {m: n if isinstance(n, int) else len(n) for m, n in wanted.items()}
     assert all(found[m] == n for m, n in wanted.items() if not isinstance(n, int))
 
