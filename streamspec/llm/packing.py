@@ -7,8 +7,8 @@ patterns, each a bin and how often it is used, and every document finds its own
 rank among the documents of its length.
 
 Ids are those of the ``tokenizers`` library with the vocabulary's settings as they are: a string that
-the file lists as an added token is that token, unless special_as_text. Very long texts are given to
-it in parts, cut where a match of its pattern always begins.
+the file lists as an added token is that token, unless special_as_text. The library is asked for
+distinct pre-tokens, or for whole texts where they hold an added token.
 
 Best-two-fit: a bin is filled greedily, largest document first; then its smallest document is
 replaced by two unpacked ones that fit the gap, widened by it, more tightly, as long as there are.
@@ -51,13 +51,14 @@ def tokenised(docs: DataFrame, vocabulary_path: str, capacity: int = CAPACITY, e
     among the pieces of its length in its task; with_ids adds the ids themselves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, part, seen = vocabulary.tokenizer(vocabulary_path, special_as_text), TaskContext.get().partitionId(), Counter()
+        ids_of, part, seen = vocabulary.text_ids(vocabulary_path, special_as_text), TaskContext.get().partitionId(), Counter()
+        end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 rows = batch.slice(at, 256)
                 source, cols = [], {k: [] for k in ("piece", "start", "length", "ids_crc32", "rank", *(["ids"] * with_ids))}
-                for i, own_ids in enumerate(vocabulary.token_ids(tokenizer, texts_of(rows.column(1)))):
-                    ids = np.array([*own_ids, end_id], "<u4")
+                for i, text in enumerate(texts_of(rows.column(1))):
+                    ids = np.frombuffer(ids_of(text) + end, "<u4")
                     for k, (start, length) in enumerate(_pieces(len(ids), capacity)):
                         source.append(i)
                         own = ids[start : start + length]

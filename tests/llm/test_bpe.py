@@ -51,13 +51,13 @@ def test_edge_cases(edge, empty, library):
     assert all(r.bytes is None for r in bpe.decode(nulls, *RANKS).collect())
 
 
-@pytest.mark.parametrize("context", ["{}", "a{}b", "1{}2", " {} ", "!{}?", "\n{}\n", "'{}'s", "漢{}漢", "x {}y  {}"])
+@pytest.mark.parametrize("context", ["a{}b 1{}2 !{}? {} 漢{}", "x {}y  {}\n{}'s"])
 def test_every_code_point_is_split_as_the_library_does(library, context):
     """All code points in several contexts, many of them in one text."""
     split = vocabulary.splitter(RANKS[1])
     points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
     for at in range(0, len(points), 4096):
-        text = "\n".join(context.format(c, c) for c in points[at : at + 4096])
+        text = "\n".join(context.format(*[c] * 5) for c in points[at : at + 4096])
         ids = [i for piece in split(text) for i in library._core_bpe.encode_single_piece(piece.encode())]
         assert ids == library.encode_ordinary(text), hex(at)
 

@@ -79,6 +79,15 @@ def test_long_texts_in_parts(tokenizer):
     assert len(vocabulary.parts("word " * 1000, 100)) > 40
 
 
+@pytest.mark.parametrize("context", ["a{}b 1{} !{}"])
+def test_every_code_point_has_the_ids_of_the_library(tokenizer, context):
+    own = vocabulary.text_ids(PATH)
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(points), 8192):
+        text = "\n".join(context.format(*[c] * 5) for c in points[at : at + 8192])
+        assert np.frombuffer(own(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, hex(at)
+
+
 def test_sequences_hold_the_ids(docs, tokenizer):
     placed = packing.packed(docs, PATH, with_ids=True).cache()
     made = {r.sequence_id: r.ids for r in packing.sequences(placed).collect()}
