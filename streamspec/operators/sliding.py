@@ -4,15 +4,18 @@ A window of length D is D / 64 long panes; a value belongs to a deadline d if it
 and its pane is at most 63 before that of d. Panes are numbered in floating point by default, since
 that is how results are defined; ``exact`` numbers them in whole nanoseconds.
 
-Instead of a range join, values are first aggregated by pane and first deadline (values that share
-both enter and leave the same windows), then each aggregate goes to the deadlines of its windows, at
-most 65 panes a window whatever the rate of values, and is merged there. Both steps are ordinary
-aggregations that combine in each task before rows move.
+There is no range join. A window is 63 whole panes and the part of its deadline's own pane that is
+over by then. Values are first aggregated, with partial results in each task, by pane and, where a
+deadline in the pane still sees them, by the first such deadline. The open part is a running merge
+in the pane; whole panes are merged once for all deadlines of a pane, over a frame of 63 panes, in
+slabs of panes that overlap by a frame. So the work follows the number of values, deadlines and
+panes, whatever the period, and panes are merged from the oldest to the newest.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as Over
 from pyspark.sql import functions as F
 
 from streamspec.analysis.checker import Window
@@ -21,6 +24,8 @@ from streamspec.operators.temporal import back
 from streamspec.operators.timeline import ORDER, Timeline
 
 PANES = 64
+#: Panes in a slab; each slab also gets the last panes of the one before.
+SLAB = 4096
 
 
 def seconds_of(ts: Column) -> Column:
@@ -49,47 +54,79 @@ def _partial(function: str, v: Column, is_bool: bool) -> dict[str, Column]:
     }[function]
 
 
-def aggregate(line: Timeline, target: str, window: Window, period: int, exact: bool = False) -> DataFrame:
-    """ts, keys and value of the deadlines (multiples of period) whose windows have values."""
-    pane_length = max(1, nanos(window.duration) // PANES)
-    own = F.col(f"`{target}`")
-    keys = [F.col(k) for k in line.keys]
-    names = list(line.keys)
-    is_bool = window.source_type.kind == "Bool"
-    if window.function == "integral":
-        line = back(line, target, 1, "__previous")
-        line = back(line.with_df(line.df.withColumn("__time", F.when(own.isNotNull(), F.struct(F.col("__ts").alias("v"))))), "__time", 1, "__previous_time")
-        step = (F.col("__ts") - F.col("__previous_time")["v"]).cast("double") / 1e9
-        area = (own["v"].cast("double") + F.col("__previous")["v"].cast("double")) / 2 * step
-        values = line.df.where(own.isNotNull()).select(*keys, *ORDER, F.coalesce(area, F.lit(0.0)).alias("v"))
-        # The first value of a window has no part of the area before it.
-        partial = {"s": F.sum("v"), "f": F.min(F.struct(*ORDER, "v"))}
-    else:
+#: How partial results are merged: n, s and f of the functions.
+_MERGE = {
+    "count": {"n": F.sum},
+    "sum": {"n": F.sum, "s": F.sum},
+    "avg": {"n": F.sum, "s": F.sum},
+    "min": {"s": F.min},
+    "max": {"s": F.max},
+    "forall": {"s": F.bool_and},
+    "exists": {"s": F.bool_or},
+    "integral": {"s": F.sum, "f": F.min},
+}
+
+
+def _both(merge, a: Column, b: Column) -> Column:
+    """Two partial results as one; null is none."""
+    if merge is F.sum:
+        return F.when(a.isNull() | b.isNull(), F.coalesce(a, b)).otherwise(a + b)
+    return (F.least if merge in (F.min, F.bool_and) else F.greatest)(a, b)
+
+
+def _partials(line: Timeline, target: str, window: Window) -> tuple[DataFrame, dict[str, Column]]:
+    """The values of a stream with their times, and what is kept of several."""
+    own, keys = F.col(f"`{target}`"), [F.col(f"`{k}`") for k in line.keys]
+    if window.function != "integral":
         values = line.df.where(own.isNotNull()).select(*keys, "__ts", own["v"].alias("v"))
-        partial = _partial(window.function, F.col("v"), is_bool)
+        return values, _partial(window.function, F.col("v"), window.source_type.kind == "Bool")
+    line = back(line, target, 1, "__previous")
+    line = back(line.with_df(line.df.withColumn("__time", F.when(own.isNotNull(), F.struct(F.col("__ts").alias("v"))))), "__time", 1, "__previous_time")
+    step = (F.col("__ts") - F.col("__previous_time")["v"]).cast("double") / 1e9
+    area = (own["v"].cast("double") + F.col("__previous")["v"].cast("double")) / 2 * step
+    values = line.df.where(own.isNotNull()).select(*keys, *ORDER, F.coalesce(area, F.lit(0.0)).alias("v"))
+    # The first value of a window has no part of the area before it.
+    return values, {"s": F.sum("v"), "f": F.min(F.struct(*ORDER, "v"))}
+
+
+def aggregate(line: Timeline, target: str, window: Window, period: int, exact: bool = False) -> DataFrame:
+    """ts, keys and value of the deadlines (multiples of period); null where a window has no values."""
+    length = max(1, nanos(window.duration) // PANES)
+    names, merge = list(line.keys), _MERGE[window.function]
+    values, partial = _partials(line, target, window)
     first = F.call_function("div", F.col("__ts") + (period - 1), F.lit(period))
-    panes = values.select("*", pane(F.col("__ts"), pane_length, exact).alias("__pane"), first.alias("__first"))
-    panes = panes.groupBy(*names, "__pane", "__first").agg(*[c.alias(n) for n, c in partial.items()])
-    # The last deadline that can still see the pane; floating point may add one.
-    reach = F.call_function("div", (F.col("__pane") + PANES + 1) * pane_length, F.lit(period))
-    stop = F.least(reach, F.lit(line.last // period).cast("bigint"))
-    spread = panes.where(F.col("__first") <= stop).withColumn("__j", F.explode(F.sequence(F.col("__first"), stop)))
-    spread = spread.withColumn("__ts", F.col("__j") * period).where(pane(F.col("__ts"), pane_length, exact) - F.col("__pane") <= PANES - 1)
-    merged = spread.groupBy(*names, "__ts")
-    f, kind = window.function, window.type.kind
-    if f == "count":
-        out = merged.agg(F.sum("n").alias("value"))
-    elif f == "sum":
-        out = merged.agg(F.sum("s").alias("value"))
-    elif f == "avg":
-        out = merged.agg(F.sum("s").alias("s"), F.sum("n").alias("n")).select(*names, "__ts", (F.col("s") / F.col("n") if kind == "Float" else F.call_function("div", F.col("s"), F.col("n"))).alias("value"))
-    elif f == "integral":
-        out = merged.agg(F.sum("s").alias("s"), F.min("f").alias("f")).select(*names, "__ts", (F.col("s") - F.col("f.v")).alias("value"))
-    elif f in ("min", "max"):
-        out = merged.agg((F.min if f == "min" else F.max)("s").alias("value"))
-    else:
-        out = merged.agg((F.bool_and if f == "forall" else F.bool_or)("s").alias("value"))
-    return out.select(*names, "__ts", F.lit(1).alias("__kind"), "value")
+    values = values.select("*", pane(F.col("__ts"), length, exact).alias("__pane"), first.alias("__j"))
+    # Only deadlines in a value's own pane see the pane while it is open.
+    seen = pane(F.col("__j") * period, length, exact) == F.col("__pane")
+    groups = values.withColumn("__j", F.when(seen, F.col("__j"))).groupBy(*names, "__pane", "__j").agg(*[c.alias(n) for n, c in partial.items()])
+    deadlines = line.df.where((F.col("__kind") == 1) & (F.col("__ts") % period == 0)).select(
+        *names, pane(F.col("__ts"), length, exact).alias("__pane"), F.call_function("div", F.col("__ts"), F.lit(period)).alias("__j"), F.lit(True).alias("__due")
+    )
+    rows = groups.unionByName(deadlines, allowMissingColumns=True)
+    rows = rows.groupBy(*names, "__pane", "__j").agg(*[f(n).alias(n) for n, f in merge.items()], F.max("__due").alias("__due"))
+    # The open part of a deadline's own pane.
+    over = Over.partitionBy(*names, "__pane").orderBy("__j").rowsBetween(Over.unboundedPreceding, Over.currentRow)
+    opened = rows.where("__j IS NOT NULL").select(*names, "__pane", "__j", "__due", *[f(n).over(over).alias(f"open {n}") for n, f in merge.items()]).where("__due").drop("__due")
+    # The whole panes before it.
+    whole = rows.groupBy(*names, "__pane").agg(*[f(n).alias(n) for n, f in merge.items()], F.max("__due").alias("__due"))
+    slab = F.call_function("div", F.col("__pane"), F.lit(SLAB))
+    both = F.when(F.col("__pane") % SLAB > SLAB - PANES, F.array(slab, slab + 1)).otherwise(F.array(slab))
+    whole = whole.withColumn("__slab", F.explode(both))
+    frame = Over.partitionBy(*names, "__slab").orderBy("__pane").rangeBetween(1 - PANES, -1)
+    whole = whole.select(*names, "__pane", "__slab", "__due", *[f(n).over(frame).alias(f"whole {n}") for n, f in merge.items()])
+    whole = whole.where(F.col("__due") & (F.col("__slab") == slab)).drop("__due", "__slab")
+    done = {n: _both(f, F.col(f"`whole {n}`"), F.col(f"`open {n}`")) for n, f in merge.items()}
+    s, n = done.get("s"), done.get("n")
+    match window.function:
+        case "count":
+            out = n
+        case "avg":
+            out = s / n if window.type.kind == "Float" else F.call_function("div", s, n)
+        case "integral":
+            out = s - done["f"]["v"]
+        case _:
+            out = s
+    return opened.join(whole, [*names, "__pane"]).select(*names, (F.col("__j") * period).alias("__ts"), F.lit(1).alias("__kind"), out.alias("value"))
 
 
 #: What a window without values gives; None for no value.

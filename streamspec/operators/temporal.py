@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from streamspec.operators.timeline import CHUNK, ORDER, Timeline
@@ -11,9 +11,16 @@ from streamspec.operators.timeline import CHUNK, ORDER, Timeline
 CHAINED = 4
 
 
-def _earlier():
-    """The chunks before one, over one row for each chunk."""
-    return Window.orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+def _earlier(line: Timeline):
+    """The chunks before one, over one row for each chunk (of each key)."""
+    own = Window.partitionBy(*line.keys) if line.keys else Window
+    return own.orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _carried(line: Timeline, df: DataFrame, rest: DataFrame, how: str = "left") -> DataFrame:
+    """df with what each chunk gets from those before it. Without keys that is a row for each of a
+    bounded number of chunks; with keys both sides are partitioned by key and chunk already."""
+    return df.join(rest if line.keys else F.broadcast(rest), line.parts, how)
 
 
 def latest(line: Timeline, streams: dict[str, Column], before: bool = False) -> Timeline:
@@ -27,9 +34,9 @@ def latest(line: Timeline, streams: dict[str, Column], before: bool = False) ->
         return line.with_df(line.df.withColumns(local))
     line = line.settled()
     at = F.struct(*ORDER)
-    per = line.df.groupBy(CHUNK).agg(*[F.max_by(c, F.when(c.isNotNull(), at)).alias(n) for n, c in streams.items()])
-    rest = per.select(CHUNK, *[F.last(F.col(f"`{n}`"), True).over(_earlier()).alias(f"__c {n}") for n in streams])
-    df = line.df.withColumns(local).join(F.broadcast(rest), CHUNK, "left")
+    per = line.df.groupBy(*line.parts).agg(*[F.max_by(c, F.when(c.isNotNull(), at)).alias(n) for n, c in streams.items()])
+    rest = per.select(*line.parts, *[F.last(F.col(f"`{n}`"), True).over(_earlier(line)).alias(f"__c {n}") for n in streams])
+    df = _carried(line, line.df.withColumns(local), rest)
     df = df.withColumns({n: F.coalesce(F.col(f"`{n}`"), F.col(f"`__c {n}`")) for n in streams}).drop(*[f"__c {n}" for n in streams])
     return line.with_df(df)
 
@@ -48,13 +55,13 @@ def back(line: Timeline, stream: str, steps: int, name: str) -> Timeline:
         return line.with_df(line.df.withColumn(name, F.when(own.isNotNull(), here)))
     # Values are numbered over all chunks; each row is joined with the number that it looks back to.
     line = line.settled()
-    counted = line.df.groupBy(CHUNK).agg(F.count(own).alias("__n"))
-    earlier = counted.select(CHUNK, F.coalesce(F.sum("__n").over(_earlier()), F.lit(0)).alias("__before"))
+    counted = line.df.groupBy(*line.parts).agg(F.count(own).alias("__n"))
+    earlier = counted.select(*line.parts, F.coalesce(F.sum("__n").over(_earlier(line)), F.lit(0)).alias("__before"))
     local = F.count(own).over(line.window().rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    df = line.df.withColumn("__k", local).join(F.broadcast(earlier), CHUNK)
+    df = _carried(line, line.df.withColumn("__k", local), earlier, "inner")
     df = df.withColumn("__k", F.when(own.isNotNull(), F.col("__k") + F.col("__before"))).drop("__before")
-    past = df.where(own.isNotNull()).select((F.col("__k") + steps).alias("__k"), own.alias(name))
-    return line.with_df(df.join(past, "__k", "left").drop("__k"))
+    past = df.where(own.isNotNull()).select(*line.keys, (F.col("__k") + steps).alias("__k"), own.alias(name))
+    return line.with_df(df.join(past, [*line.keys, "__k"], "left").drop("__k"))
 
 
 def running(line: Timeline, values: dict[str, tuple[Column, str]]) -> Timeline:
@@ -70,10 +77,10 @@ def running(line: Timeline, values: dict[str, tuple[Column, str]]) -> Timeline:
         return line.with_df(line.df.withColumns({n: agg(f, c).over(over) for n, (c, f) in values.items()}))
     line = line.settled()
     at = F.struct(*ORDER)
-    per = line.df.groupBy(CHUNK).agg(*[(F.max_by(c, F.when(c.isNotNull(), at)) if f == "last" else functions[f](c)).alias(n) for n, (c, f) in values.items()])
+    per = line.df.groupBy(*line.parts).agg(*[(F.max_by(c, F.when(c.isNotNull(), at)) if f == "last" else functions[f](c)).alias(n) for n, (c, f) in values.items()])
     merge = {"sum": F.sum, "count": F.sum, "min": F.min, "max": F.max, "last": lambda c: F.last(c, True)}
-    rest = per.select(CHUNK, *[merge[f](F.col(f"`{n}`")).over(_earlier()).alias(f"__c {n}") for n, (_, f) in values.items()])
-    df = line.df.withColumns({n: agg(f, c).over(over) for n, (c, f) in values.items()}).join(F.broadcast(rest), CHUNK, "left")
+    rest = per.select(*line.parts, *[merge[f](F.col(f"`{n}`")).over(_earlier(line)).alias(f"__c {n}") for n, (_, f) in values.items()])
+    df = _carried(line, line.df.withColumns({n: agg(f, c).over(over) for n, (c, f) in values.items()}), rest)
     both = {}
     for n, (_, f) in values.items():
         a, b = F.col(f"`{n}`"), F.col(f"`__c {n}`")

@@ -4,10 +4,12 @@ Events and deadlines are rows of one table with ``ts`` (nanoseconds since the fi
 (0 for events, 1 for deadlines) and ``seq`` (order of events at the same time). Events come before
 deadlines at the same time.
 
-A window over the whole timeline would be one task. So a long timeline is cut into chunks of time
-with about equally many rows: windows run in each chunk, and what a chunk needs from those before it
-is computed from one row for each chunk and joined back. All windows share the partitioning by
-chunk, so the timeline is shuffled once.
+A window over the whole timeline would be one task. So a long timeline is cut into chunks with about
+equally many rows: windows run in each chunk, and what a chunk needs from those before it is computed
+from one row for each chunk and joined back. All windows share the partitioning by chunk, so the
+timeline is shuffled once. Chunks are cut between times, and within an instant by the order of its
+events where one instant has more rows than a chunk. With keys, each key has its own rows of a chunk,
+so a frequent key is as many tasks as it has chunks.
 """
 
 from __future__ import annotations
@@ -19,9 +21,10 @@ from pyspark.sql import functions as F
 
 from streamspec.storage import materialise
 
-#: Rows in a chunk. Timelines up to this are one chunk.
+#: Rows in a chunk: what one task sorts, some hundred MB. Timelines up to this are one chunk.
 CHUNK_ROWS = 4_000_000
-#: Chunks at most, which bounds the tables that are broadcast, and slots of time for each chunk.
+#: Chunks at most, which bounds the table of one row a chunk that is broadcast (chunks then hold more
+#: rows), and slots of time for each chunk.
 MOST_CHUNKS, SLOTS = 32_768, 4
 ORDER = ("__ts", "__kind", "__seq")
 CHUNK = "__chunk"
@@ -69,6 +72,25 @@ def grid(df: DataFrame, periods: list[int], last: int, partitions: int | None =
     return out
 
 
+#: Deadlines of a key that one row is exploded to.
+SPAN = 65_536
+
+
+def _for_keys(trace: DataFrame, keys: tuple[str, ...], periods: list[int], last: int) -> DataFrame:
+    """ts of all deadlines for each key: a key is exploded where it is, nothing is broadcast."""
+    each, out, done = trace.select(*keys).distinct(), None, []
+    for p in sorted(set(periods), reverse=True):
+        n = last // p
+        spans = each.withColumn("__s", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n // SPAN).cast("bigint"))))
+        own = spans.withColumn("__i", F.explode(F.sequence(F.col("__s") * SPAN, F.least((F.col("__s") + 1) * SPAN - 1, F.lit(n).cast("bigint")))))
+        own = own.select(*keys, (F.col("__i") * p).alias("__ts"))
+        for q in done:
+            own = own.where(F.col("__ts") % q != 0)
+        out = own if out is None else out.unionAll(own)
+        done.append(p)
+    return out
+
+
 def build(trace: DataFrame, periods: list[int], keys: tuple[str, ...] = (), chunk_rows: int = CHUNK_ROWS) -> Timeline:
     """The timeline of a trace: ts, seq, keys and inputs; and deadlines of the periods.
 
@@ -80,24 +102,68 @@ def build(trace: DataFrame, periods: list[int], keys: tuple[str, ...] = (), chun
         return Timeline(events, -1, 1, keys)
     total = n
     if periods:
-        deadlines = grid(trace, periods, last).select("__ts", F.lit(1).alias("__kind"), F.lit(0).cast("bigint").alias("__seq"))
+        deadlines = _for_keys(trace, keys, periods, last) if keys else grid(trace, periods, last)
+        events = events.unionByName(deadlines.withColumns({"__kind": F.lit(1), "__seq": F.lit(0).cast("bigint")}), allowMissingColumns=True)
         total += sum(last // p + 1 for p in set(periods))
-        if keys:
-            deadlines = deadlines.crossJoin(F.broadcast(trace.select(*keys).distinct()))
-        events = events.unionByName(deadlines, allowMissingColumns=True)
-    chunks = 1 if keys else min(MOST_CHUNKS, -(-total // chunk_rows))
+    chunks = min(MOST_CHUNKS, -(-total // chunk_rows))
     if chunks > 1:
-        events = events.withColumn(CHUNK, _chunk_of(events, last, chunks))
+        chunk, chunks = _chunk_of(events, last, chunks)
+        events = events.withColumn(CHUNK, chunk)
     return Timeline(events, last, chunks, keys)
 
 
-def _chunk_of(events: DataFrame, last: int, chunks: int) -> Column:
-    """The chunk of a row's time: slots of equal length, as many in a chunk as hold its share of rows."""
+def _cuts(rows: DataFrame, by: str, value: str, parts: dict[int, int]) -> dict[int, list[int]]:
+    """For each value of by, where its rows are cut into so many parts of about equally many rows.
+    parts and the cuts are at most as many as there are chunks."""
+    most = max(parts.values())
+    shares = F.array(*[F.lit(i / most) for i in range(1, most)])
+    found = rows.where(F.col(by).isin(list(parts))).groupBy(by).agg(F.percentile_approx(value, shares, 10_000).alias("q")).collect()
+    return {r[0]: [r.q[i * most // parts[r[0]] - 1] for i in range(1, parts[r[0]])] for r in found}
+
+
+def _chunk_of(events: DataFrame, last: int, chunks: int) -> tuple[Column, int]:
+    """The chunk of a row, and their number.
+
+    Time is cut into slots of equal length, as many in a chunk as hold its share of rows. A slot with
+    the rows of several chunks is cut at quantiles of time, an instant at quantiles of the order.
+    """
     width = last // (chunks * SLOTS) + 1
-    counts = dict(events.groupBy((F.col("__ts") / width).cast("bigint").alias("s")).count().collect())  # at most chunks * SLOTS rows
-    share, seen, ids = sum(counts.values()) / chunks, 0, []
+    slot = F.call_function("div", F.col("__ts"), F.lit(width))
+    rows = events.select(slot.alias("s"), "__ts", "__kind", "__seq")
+    counts = {r.s: r["count"] for r in rows.groupBy("s").count().collect()}  # at most chunks * SLOTS rows
+    share = sum(counts.values()) / chunks
+    crowded = {s: min(chunks, round(n / share)) for s, n in counts.items() if n >= 2 * share}
+    cuts: dict[int, list[tuple[int, int]]] = {}
+    if crowded:
+        times = _cuts(rows, "s", "__ts", crowded)
+        # A time that takes several parts is a burst.
+        bursts = {t: q.count(t) + 1 for q in times.values() for t in q if q.count(t) > 1}
+        orders = _cuts(rows.where("__kind = 0"), "__ts", "__seq", bursts) if bursts else {}
+        for s, q in times.items():
+            cuts[s] = sorted({(t, -1) for t in q} | {(t, o) for t in set(q) for o in orders.get(t, ())})
+    ids, seen, most = [], 0.0, 0
     for s in range(chunks * SLOTS + 1):
-        ids.append(min(chunks - 1, int(seen / share)))
+        if s in cuts:  # begins a chunk of its own
+            seen, most = 0.0, most + 1
+            ids.append(most)
+            most += len(cuts[s]) + 1
+            continue
+        if seen >= share:
+            seen, most = 0.0, most + 1
+        ids.append(most)
         seen += counts.get(s, 0)
     table = F.split(F.lit(",".join(map(str, ids))), ",").cast("array<int>")  # folded to a constant
-    return F.element_at(table, (F.floor(F.col("__ts") / width) + 1).cast("int"))
+    chunk = F.element_at(table, (slot + 1).cast("int"))
+    if cuts:
+        flat = ";".join(f"{s}:" + ",".join(f"{t} {o}" for t, o in own) for s, own in cuts.items())
+        held = F.str_to_map(F.lit(flat), F.lit(";"), F.lit(":"))
+        own = F.split(F.element_at(held, slot.cast("string")), ",")
+
+        def part(x: Column, i: int) -> Column:
+            return F.element_at(F.split(x, " "), i).cast("bigint")
+
+        # Deadlines come after all events of their time.
+        order = F.when(F.col("__kind") == 1, F.lit(2**63 - 1)).otherwise(F.col("__seq"))
+        over = F.filter(own, lambda x: (part(x, 1) < F.col("__ts")) | (part(x, 1) == F.col("__ts")) & (part(x, 2) <= order))
+        chunk = chunk + F.when(own.isNotNull(), F.size(over)).otherwise(0)
+    return chunk, most + 1

@@ -1,8 +1,8 @@
 """Queries over the events table, one for each operator, and SQL with the same rows.
 
 The trace has v (value), u (user), q (event number), s (event type), and inputs that only some events
-have: p (value of purchases), c (user of clicks), e (errors true, views false). Times are nanoseconds
-since the first event.
+have: p (value of purchases) and pc (the same in cents, whole numbers, so that sums are exact in any
+order), c (user of clicks), e (errors true, views false). Times are nanoseconds since the first event.
 """
 
 from __future__ import annotations
@@ -16,10 +16,10 @@ from streamspec.plans.batch import Result, evaluate
 from streamspec.sources.infer import infer
 from streamspec.sources.trace import Trace
 
-INPUTS = "input v: Float64, u: Int64, q: UInt64, s: String, p: Float64, c: Int64, e: Bool\n"
+INPUTS = "input v: Float64, u: Int64, q: UInt64, s: String, p: Float64, pc: Float64, c: Int64, e: Bool\n"
 TRACE_SQL = """t AS (
   SELECT (epoch_us(ts) - (SELECT min(epoch_us(ts)) FROM events)) * 1000 AS ts, event_id AS q, value AS v, user_id AS u, event_type AS s,
-         CASE WHEN event_type = 'purchase' THEN value END AS p, CASE WHEN event_type = 'click' THEN user_id END AS c,
+         CASE WHEN event_type = 'purchase' THEN value END AS p, CASE WHEN event_type = 'purchase' THEN round(value * 100) END AS pc, CASE WHEN event_type = 'click' THEN user_id END AS c,
          CASE event_type WHEN 'error' THEN true WHEN 'view' THEN false END AS e
   FROM events
 )"""
@@ -36,6 +36,7 @@ def trace(spark: SparkSession, sf_dir: str) -> Trace:
         F.col("event_id").alias("__seq"),
         F.col("value").alias("v"), F.col("user_id").alias("u"), F.col("event_id").alias("q"), kind.alias("s"),
         F.when(kind == "purchase", F.col("value")).alias("p"),
+        F.when(kind == "purchase", F.round(F.col("value") * 100)).alias("pc"),
         F.when(kind == "click", F.col("user_id")).alias("c"),
         F.when(kind == "error", F.lit(True)).when(kind == "view", F.lit(False)).alias("e"),
     )
@@ -50,13 +51,14 @@ def _rounded(df: DataFrame) -> DataFrame:
     return df.select(*[F.round(c, 4).alias(c) if k == "double" else F.col(c) for c, k in df.dtypes])
 
 
-def _streams(spec: str, *names: str) -> Callable[[SparkSession, str], DataFrame]:
+def _streams(spec: str, *names: str, rounded: bool = True) -> Callable[[SparkSession, str], DataFrame]:
     """A query for ts and values of streams with the clock of the first one."""
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         res = run(spark, sf_dir, spec)
         rows = res.line.df.where(F.col(f"`{names[0]}`").isNotNull())
-        return _rounded(rows.select(F.col("__ts").alias("ts"), *[F.col(f"`{n}`")["v"].alias(n) for n in names]))
+        made = rows.select(F.col("__ts").alias("ts"), *[F.col(f"`{n}`")["v"].alias(n) for n in names])
+        return _rounded(made) if rounded else made
 
     return query
 
@@ -85,8 +87,8 @@ def _lag_sql(expr: str, where: str) -> str:
 Q: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
 
-def add(name: str, spec: str, streams: str, sql: str | None) -> None:
-    Q[name] = (_streams(spec, *streams.split()), sql)
+def add(name: str, spec: str, streams: str, sql: str | None, rounded: bool = True) -> None:
+    Q[name] = (_streams(spec, *streams.split(), rounded=rounded), sql)
 
 
 def plain(sql: str) -> str:
@@ -135,14 +137,14 @@ for _name, _f, _target, _sql in (
     ("sum", "sum", "v", "round(coalesce(sum(v), 0), 4) AS x"),
     ("sum_int", "sum", "c", "coalesce(sum(c), 0)::BIGINT AS x"),
     ("sum_bool", "sum", "e", "coalesce(sum(e::INT), 0)::BIGINT AS x"),
-    ("avg", "avg", "p", "round(sum(p) / count(p), 4) AS x"),
+    ("avg", "avg", "pc", "sum(pc) / count(pc) AS x"),
     ("avg_int", "avg", "c", "(CASE WHEN count(c) > 0 THEN sum(c) // count(c) END)::BIGINT AS x"),
     ("min", "min", "v", "round(min(v), 4) AS x"),
     ("max", "max", "c", "max(c) AS x"),
     ("forall", "forall", "e", "coalesce(bool_and(e), true) AS x"),
     ("exists", "exists", "e", "coalesce(bool_or(e), false) AS x"),
 ):
-    add(f"window_{_name}", f"output x @ 10min := {_target}.aggregate(over: 1h, using: {_f})", "x", _window(_sql, 10 * MINUTE, HOUR))
+    add(f"window_{_name}", f"output x @ 10min := {_target}.aggregate(over: 1h, using: {_f})", "x", _window(_sql, 10 * MINUTE, HOUR), rounded=_name != "avg")
 add("window_exactly", "output x @ 30min := p.aggregate(over_exactly: 6h, using: count)", "x",
     f"WITH {TRACE_SQL}, {_panes(30 * MINUTE, 6 * HOUR)} SELECT d AS ts, CASE WHEN d >= {6 * HOUR} THEN count(p) END::BIGINT AS x FROM w GROUP BY d")
 add("window_wide", "output x @ 10min := v.aggregate(over: 1d, using: max).defaults(to: 0.0)", "x", _window("round(coalesce(max(v), 0), 4) AS x", 10 * MINUTE, 24 * HOUR))
