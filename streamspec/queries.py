@@ -12,9 +12,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from streamspec.analysis.checker import check
 from streamspec.plans.batch import Result, evaluate
+from streamspec.sinks import text
+from streamspec.sources import csv
 from streamspec.sources.infer import infer
-from streamspec.sources.trace import Trace
+from streamspec.sources.trace import Trace, delayed
+from streamspec.storage import scratch
 
 INPUTS = "input v: Float64, u: Int64, q: UInt64, s: String, p: Float64, pc: Float64, c: Int64, e: Bool\n"
 TRACE_SQL = """t AS (
@@ -130,8 +134,14 @@ add("periodic_gcd", "output a @ 2h := u.hold().defaults(to: 0)\noutput b @ 3h :=
 WITH {TRACE_SQL}, d AS (SELECT i * {6 * HOUR} AS d FROM range(0, (SELECT max(ts) FROM t) // {6 * HOUR} + 1) r(i))
 SELECT d.d AS ts, coalesce(t.u, 0) + coalesce(t.u, 1) AS x FROM d ASOF LEFT JOIN t ON d.d >= t.ts""")
 
+add("frequencies", "output a @ 1mHz := u.hold().defaults(to: 0)\noutput b @ 0.5mHz := a + 1\noutput x @ 250uHz := a + b", "x", f"""
+WITH {TRACE_SQL}, d AS (SELECT i * {4000 * 10**9} AS d FROM range(0, (SELECT max(ts) FROM t) // {4000 * 10**9} + 1) r(i))
+SELECT d.d AS ts, 2 * coalesce(t.u, 0) + 1 AS x FROM d ASOF LEFT JOIN t ON d.d >= t.ts""")
+
 # sliding windows
 
+add("tumbling", "output n @ 6h := p.aggregate(over: 6h, using: count)\noutput m @ 6h := v.aggregate(over: 6h, using: max).defaults(to: 0.0)", "n m", _window("count(p)::BIGINT AS n, round(coalesce(max(v), 0), 4) AS m", 6 * HOUR, 6 * HOUR))
+add("window_often", "output x @ 1min := p.aggregate(over: 2h, using: sum)", "x", _window("round(coalesce(sum(p), 0), 4) AS x", MINUTE, 2 * HOUR))
 for _name, _f, _target, _sql in (
     ("count", "count", "p", "count(p)::BIGINT AS x"),
     ("sum", "sum", "v", "round(coalesce(sum(v), 0), 4) AS x"),
@@ -191,6 +201,7 @@ add("math_functions", "import math\noutput a := sqrt(v)\noutput b := sin(v) + co
     plain("SELECT ts, round(sqrt(v), 4) AS a, round(sin(v) + cos(v), 4) AS b, round(atan(v), 4) AS d, abs(u - 50) AS f, round(least(v, 20.0), 4) AS g, greatest(u, 70) AS h, round(sqrt(v), 4) AS i FROM t"))
 add("casts", "output a: Float64 := cast(u)\noutput b: Int64 := cast(v)\noutput d: UInt64 := cast<Float64, UInt64>(v - 50.0)", "a b d",
     plain("SELECT ts, u::DOUBLE AS a, trunc(v)::BIGINT AS b, greatest(0, trunc(v - 50))::BIGINT AS d FROM t"))
+add("literals", "output a @v := 31 + 7\noutput b @v := 2.5\noutput d @v := \"a'b\"\noutput f @v := !false\noutput g @v := -(+3)", "a b d f g", plain("SELECT ts, 38::BIGINT AS a, 2.5::DOUBLE AS b, 'a''b' AS d, true AS f, -3::BIGINT AS g FROM t"))
 add("regex", 'import regex\noutput x := matches(s, regex: "^(c|p).*[ek]$")\noutput y := s.matches(regex: "r{2}")', "x y",
     plain("SELECT ts, regexp_matches(s, '^(c|p).*[ek]$') AS x, regexp_matches(s, 'r{2}') AS y FROM t"))
 
@@ -212,6 +223,45 @@ def output_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run(spark, sf_dir, "output a := c + 1\noutput b @ 6h := u.hold().defaults(to: 0)").log().select("ts", "stream", "value")
 
 
+def bytes_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = trace(spark, sf_dir).df.withColumn("raw", F.col("s").cast("binary"))
+    spec = 'import regex\ninput raw: Bytes\noutput x := raw.at(index: 0).defaults(to: 0)\noutput y := raw.at(index: 5)\noutput z := raw.matches(regex: "^p.r")'
+    return evaluate(spec, df).values("x", "y", "z").select("ts", "x", "y", "z")
+
+
+def csv_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events through CSV files: times as seconds with decimals, values as text, # for none."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    micros, kind = F.unix_micros(F.col("ts").cast("timestamp")), F.col("event_type")
+    second = F.concat(F.call_function("div", micros, F.lit(10**6)).cast("string"), F.lit("."), F.lpad((micros % 10**6).cast("string"), 6, "0"))
+    cells = events.select(
+        F.coalesce(F.when(kind != "view", F.col("user_id").cast("string")), F.lit("#")).alias("user"), second.alias("time"),
+        F.col("value").cast("string").alias("unused"), F.coalesce(F.when(kind == "error", F.lit("true")), F.lit("#")).alias("bad"), kind.alias("kind"),
+    )
+    path = scratch(spark, "csv")
+    cells.write.option("header", True).csv(path)
+    spec = check("input user: UInt64, bad: Bool, kind: String\noutput n @bad := user.hold().defaults(to: 0)\noutput k @user := kind.get().defaults(to: \"\")")
+    read = csv.read(spark, path, spec, check_order=False)
+    res = evaluate(spec, read.df)
+    return res.line.df.where("n IS NOT NULL OR k IS NOT NULL").select(F.col("__ts").alias("ts"), F.lit(read.start).alias("start"), F.col("n")["v"].alias("n"), F.col("k")["v"].alias("k"))
+
+
+def delayed_clock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events without times: one each 250 ms, in the order of their numbers."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.col("user_id").alias("u"))
+    res = evaluate("input u: Int64\noutput x := u - u[-1].defaults(to: 0)", delayed(events, "250ms", [F.col("event_id")]).df)
+    return res.values("x").select("ts", "x")
+
+
+def trigger_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = trace(spark, sf_dir)
+    return text.lines(evaluate(INPUTS + TRIGGERS, made.df), made.start, "absolute")
+
+
+def output_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text.lines(run(spark, sf_dir, "output a := c + 1\noutput b @ 6h := u.hold().defaults(to: 0)\ntrigger a > 90"), 0, "relative", "outputs")
+
+
 def keyed_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Independent traces by user: a parameterised stream as partitions."""
     df = trace(spark, sf_dir).df.withColumn("user", F.col("u"))
@@ -228,8 +278,8 @@ def keyed_recursion(spark: SparkSession, sf_dir: str) -> DataFrame:
 def infer_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     cells = events.select("event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"), "user_id", "event_type", "value")
-    text = cells.select(*[F.col(c).cast("string").alias(c) for c in cells.columns])
-    return infer(text, order=F.col("event_id").cast("bigint"))
+    cells = cells.select(*[F.col(c).cast("string").alias(c) for c in cells.columns])
+    return infer(cells, order=F.col("event_id").cast("bigint"))
 
 
 Q["triggers"] = (triggers, plain("""
@@ -245,6 +295,22 @@ Q["output_log"] = (output_log, f"""
 WITH {TRACE_SQL}, d AS (SELECT i * {6 * HOUR} AS d FROM range(0, (SELECT max(ts) FROM t) // {6 * HOUR} + 1) r(i))
 SELECT ts, 'a' AS stream, (c + 1)::VARCHAR AS value FROM t WHERE c IS NOT NULL UNION ALL
 SELECT d.d, 'b', coalesce(t.u, 0)::VARCHAR FROM d ASOF LEFT JOIN t ON d.d >= t.ts""")
+Q["bytes_functions"] = (bytes_functions, plain("SELECT ts, ascii(s)::SMALLINT AS x, (CASE WHEN length(s) > 5 THEN ascii(substr(s, 6, 1)) END)::SMALLINT AS y, regexp_matches(s, '^p.r') AS z FROM t"))
+Q["csv_trace"] = (csv_trace, f"""
+WITH {TRACE_SQL}, h AS (
+  SELECT ts, s, u, (SELECT min(epoch_us(ts)) FROM events) * 1000 AS start, last_value(CASE WHEN s <> 'view' THEN u END IGNORE NULLS) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING) AS last FROM t)
+SELECT ts, start, CASE WHEN s = 'error' THEN coalesce(last, 0) END AS n, CASE WHEN s <> 'view' THEN s END AS k FROM h WHERE s <> 'view'""")
+Q["delayed_clock"] = (delayed_clock, """
+SELECT i * 250000000 AS ts, u - coalesce(lag(u) OVER (ORDER BY i), 0) AS x FROM (SELECT user_id AS u, row_number() OVER (ORDER BY event_id) AS i FROM events)""")
+Q["trigger_lines"] = (trigger_lines, plain("""
+SELECT printf('%d.%09d: Trigger: %s', wall // 1000000000, wall % 1000000000, m) AS line FROM (
+SELECT ts + (SELECT min(epoch_us(ts)) FROM events) * 1000 AS wall, m FROM (SELECT ts, 'high' AS m FROM t WHERE v > 300 UNION ALL
+SELECT ts, 'p > 100.0 ∧ u < 10' FROM t WHERE p > 100 AND u < 10 UNION ALL SELECT ts, 'e' FROM t WHERE e))"""))
+Q["output_lines"] = (output_lines, f"""
+WITH {TRACE_SQL}, d AS (SELECT i * {6 * HOUR} AS d FROM range(0, (SELECT max(ts) FROM t) // {6 * HOUR} + 1) r(i)),
+l AS (SELECT ts, 'OutputStream[0] := ' || (c + 1) || '.' AS m FROM t WHERE c IS NOT NULL UNION ALL SELECT d.d, 'OutputStream[1] := ' || coalesce(t.u, 0) || '.' FROM d ASOF LEFT JOIN t ON d.d >= t.ts
+UNION ALL SELECT ts, 'Trigger: a > 90' FROM t WHERE c + 1 > 90)
+SELECT printf('%d.%09d: %s', ts // 1000000000, ts % 1000000000, m) AS line FROM l""")
 Q["keyed_runs"] = (keyed_runs, plain(
     "SELECT u AS user, ts, row_number() OVER o AS n, round(v - coalesce(lag(v) OVER o, v), 4) AS d FROM t WINDOW o AS (PARTITION BY u ORDER BY ts)"))
 Q["keyed_recursion"] = (keyed_recursion, f"""

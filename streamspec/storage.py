@@ -1,7 +1,8 @@
 """Tables in the folder that driver and executors share.
 
-The folder is ``spark.checkpoint.dir`` of the session. Only where none is set, as in tests, it is a
-temporary one of this machine.
+The folder is ``spark.checkpoint.dir`` of the session. Only where none is set and all of Spark runs in
+one process, as in tests, it is a temporary one of this machine: on a cluster each executor would
+write to its own disk, so that is an error.
 """
 
 from __future__ import annotations
@@ -18,6 +19,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not (master.startswith("local[") and master.endswith("]")):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that the driver and all executors of {master} share")
         base = "file://" + tempfile.mkdtemp(prefix="streamspec-")
         atexit.register(shutil.rmtree, base.removeprefix("file://"), True)
         spark.conf.set("spark.checkpoint.dir", base)
@@ -29,6 +33,15 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/streamspec/{name}-{uuid.uuid4().hex}"
 
 
+def clear(spark: SparkSession) -> None:
+    """Deletes all scratch tables of a shared folder. Call it when no result of any query is read any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/streamspec")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    for table in spark.catalog.listTables():
+        if table.name.startswith("streamspec_"):
+            spark.sql(f"DROP TABLE IF EXISTS `{table.name}`")
+
+
 def materialise(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """df, written once to the shared folder and read back: later uses neither recompute it nor
     depend on the executors that made it, and its size is known to the planner."""
