@@ -2,9 +2,12 @@
 
 Common recursions are running aggregates and stay in Spark: ``x[-1].defaults(to: c) + e``, the same
 with min, max, && and ||, latches ``if p then e else x[-1].defaults(to: c)``, and toggles
-``!x[-1].defaults(to: c)``. Anything else is a fold: a Python function, generated from the
-expressions, reads the ordered timeline once, batch by batch, and keeps as many past values as
-offsets need. A fold is sequential by its nature; with keys there is one for each key.
+``!x[-1].defaults(to: c)``. Remainders of linear recursions, ``(x[-1].defaults(to: c) * a + b) % m``
+with a and b free of x, are composed: each chunk is one such step, the steps of chunks are chained,
+and chunks then run side by side from their own starting values. Anything else is a fold: a Python
+function, generated from the expressions, reads the ordered timeline once, batch by batch, and keeps
+as many past values as offsets need. A fold is sequential by its nature: one task, or with keys one
+for each key.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from streamspec.analysis.checker import Spec, Stream
 from streamspec.functions.columns import Columns, sql_type
@@ -23,6 +26,7 @@ from streamspec.functions.python import NAMES, Source
 from streamspec.lang import tree as t
 from streamspec.operators.temporal import running
 from streamspec.operators.timeline import ORDER, Timeline
+from streamspec.storage import materialise
 
 
 def _bare(e: t.Expr) -> t.Expr:
@@ -95,6 +99,124 @@ def aggregated(line: Timeline, s: Stream, form: tuple, column: Columns, active:
     return line.with_df(line.df.withColumn(s.name, F.when(active, F.struct(out.alias("v")))).drop("__r"))
 
 
+Linear = tuple[Column, Column]
+
+
+def remainder(spec: Spec, s: Stream, column: Columns) -> tuple[t.Expr, int, Linear] | None:
+    """Start, modulus, and the columns a and b of a stream that is the remainder of a times its last
+    value plus b; both are free of the stream."""
+    e, starts = _bare(s.expr), []
+    if s.type.kind not in ("Int", "UInt") or not isinstance(e, t.Binary) or e.op != "%":
+        return None
+    m = _bare(e.right)
+    m = spec.constants[m.name][0] if isinstance(m, t.Ident) and m.name in spec.constants else m
+    if not isinstance(m, t.Lit) or not 0 < m.value <= 2**31:
+        return None
+    zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
+
+    def linear(x: t.Expr) -> Linear | None:
+        x = _bare(x)
+        if (start := _own_last(x, s.name)) is not None:
+            starts.append(start)
+            return one, zero
+        if _free(x, s.name):
+            return zero, column(x)
+        if isinstance(x, t.Binary) and x.op == "+":
+            left, right = linear(x.left), linear(x.right)
+            return left and right and (left[0] + right[0], left[1] + right[1])
+        if isinstance(x, t.Binary) and x.op == "*":
+            for own, other in ((x.left, x.right), (x.right, x.left)):
+                if _free(other, s.name) and (found := linear(own)):
+                    return found[0] * column(other), found[1] * column(other)
+        return None
+
+    found = linear(e.left)
+    if found is None or len(starts) != 1 or not _constant(starts[0], spec):
+        return None
+    return starts[0], int(m.value), found
+
+
+def _whole(c: Column) -> Column:
+    return F.coalesce(c, F.lit(0).cast("bigint"))
+
+
+def composed(line: Timeline, s: Stream, form: tuple[t.Expr, int, Linear], column: Columns, active: Column) -> Timeline | None:
+    """Adds the column of a remainder by chunks; None where a value is negative or so large that a step
+    could overflow, which only the fold tells apart."""
+    start, m, (a, b) = form
+    parts, limit = line.parts, 2**31
+    here = F.coalesce(active, F.lit(False))
+    df = line.df.withColumns({"__on": here, "__a": F.when(here, a), "__b": F.when(here, b), "__c": column(start)})
+    line = line.with_df(materialise(df, "steps"))
+    low, high, first = line.df.agg(F.least(F.min("__a"), F.min("__b"), F.min("__c")), F.greatest(F.max("__a"), F.max("__b")), F.max("__c")).first()
+    if low is None or low < 0 or high >= limit or first >= limit:
+        return None
+    rows = line.df.repartition(*map(F.col, parts)).sortWithinPartitions(*parts, *ORDER)
+    schema = rows.select(*[F.col(f"`{p}`") for p in parts]).schema
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """a and b of each part."""
+        part, pair = None, [1, 0]
+
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pylist([{**dict(zip(parts, part, strict=True)), "__ca": pair[0], "__cb": pair[1]}], steps_schema)
+
+        for batch in batches:
+            own = zip(*[batch.column(p).to_pylist() for p in parts], strict=True)
+            for key, x, y in zip(own, batch.column("__a").to_pylist(), batch.column("__b").to_pylist(), strict=True):
+                if key != part:
+                    if part is not None:
+                        yield done()
+                    part, pair = key, [1, 0]
+                if x is not None:
+                    pair = [pair[0] * x % m, (pair[1] * x + y) % m]
+        if part is not None:
+            yield done()
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    steps = StructType([*schema.fields, StructField("__ca", LongType()), StructField("__cb", LongType())])
+    steps_schema = to_arrow_schema(steps)
+    per = materialise(rows.select(*[F.col(f"`{p}`") for p in parts], "__a", "__b").mapInArrow(step, steps), "composed")
+    keys = list(line.keys)
+
+    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """What a part starts from: the last value before it, null for none but the default."""
+        key, x = None, first
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                if tuple(r[k] for k in keys) != key:
+                    key, x = tuple(r[k] for k in keys), first
+                out.append(x)
+                x = (r["__ca"] * x + r["__cb"]) % m
+            yield pa.RecordBatch.from_pydict({**{p: batch.column(p) for p in parts}, "__x": pa.array(out, pa.int64())})
+
+    # A row for each part: in one task without keys, since there are at most so many chunks.
+    ordered = (per.repartition(*map(F.col, keys)) if keys else per.repartition(1)).sortWithinPartitions(*parts)
+    starts = materialise(ordered.mapInArrow(chain, StructType([*schema.fields, StructField("__x", LongType())])), "starts")
+    joined = line.df.join(starts if keys else F.broadcast(starts), parts)
+    joined = joined.repartition(*map(F.col, parts)).sortWithinPartitions(*parts, *ORDER)
+    rest = [n for n in line.df.columns if n not in ("__a", "__b", "__c")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, v = None, 0
+        for batch in batches:
+            out = []
+            own = zip(*[batch.column(p).to_pylist() for p in parts], strict=True)
+            for key, x, y, v0 in zip(own, batch.column("__a").to_pylist(), batch.column("__b").to_pylist(), batch.column("__x").to_pylist(), strict=True):
+                if key != part:
+                    part, v = key, v0
+                if x is not None:
+                    v = (v * x + y) % m
+                out.append(v)
+            yield pa.RecordBatch.from_pydict({**{n: batch.column(n) for n in rest}, "__v": pa.array(out, pa.int64())})
+
+    made = joined.select(*[F.col(f"`{n}`") for n in (*rest, "__a", "__b", "__x")])
+    out = made.mapInArrow(run, StructType([*made.select(*[F.col(f"`{n}`") for n in rest]).schema.fields, StructField("__v", LongType())]))
+    return line.with_df(out.withColumn(s.name, F.when(F.col("__on"), F.struct(F.col("__v").alias("v")))).drop("__on", "__v"))
+
+
 def program(spec: Spec, group: list[Stream], inputs: Callable[[t.Expr], str]) -> str:
     """Python source of one step of a fold. Values at this instant are v0, v1, ...; past ones are in
     p0, p1, ..., newest first. inputs names the values that come from the timeline."""

@@ -140,8 +140,16 @@ class Evaluation:
     def recursive(self, group: list[Stream], own: frozenset[str]) -> None:
         self.prepare(group, own)
         form = recursion.shape(self.spec, group[0]) if len(group) == 1 else None
+        column = Columns(self.spec, self.access)
         if form is not None:
-            self.line = recursion.aggregated(self.line, group[0], form, Columns(self.spec, self.access), active(group[0].clock))
+            self.line = recursion.aggregated(self.line, group[0], form, column, active(group[0].clock))
+            return
+        made = None
+        if self.line.chunks > 1 and len(group) == 1 and (linear := recursion.remainder(self.spec, group[0], column)):
+            self.line = self.line.settled()
+            made = recursion.composed(self.line, group[0], linear, column, active(group[0].clock))
+        if made is not None:
+            self.line = made
         else:
             self.line = recursion.folded(self.line, self.spec, group, {s.name: active(s.clock) for s in group}, self.access)
 

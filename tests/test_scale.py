@@ -79,6 +79,43 @@ def test_deadlines_of_keys_without_a_cross_join(spark, monkeypatch):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+LINEAR = """constant m: Int64 := 97
+input a: Int64
+input b: Float64
+output x := (x[-1].defaults(to: 5) * 31 + a) % 1009
+output y := (7 + y[-1].defaults(to: 0) * (a + 2)) % m
+output z @(a || b) := (z[-1].defaults(to: 1) * 3 + 1) % 11
+output negative := (negative[-1].defaults(to: 3) * 2 - 20) % 7
+output twice := twice[-1].defaults(to: 1) * twice[-2].defaults(to: 2) % 13
+"""
+
+
+@pytest.mark.parametrize("keys", [(), ("key",)])
+def test_remainders_of_linear_recursions_run_by_chunks(spark, keys, monkeypatch):
+    from streamspec.operators import recursion
+
+    folded, own = [], recursion.folded
+    monkeypatch.setattr(recursion, "folded", lambda line, spec, group, *a: (folded.append(group[0].name), own(line, spec, group, *a))[1])
+    r = random.Random(8)
+    rows = [(k, t, i, None if a is None else abs(a), b) for k, t, i, a, b in events(r, 200, lambda r: r.choice("xxxy"))]
+    trace = spark.createDataFrame(rows, KINDS).repartition(3)
+    results = []
+    for chunk_rows in (10**6, 25):
+        folded.clear()
+        line = evaluate(LINEAR, trace, keys, chunk_rows=chunk_rows).line
+        results.append(sorted(map(str, line.df.select(*keys, "__ts", "__seq", "x", "y", "z", "negative", "twice").collect())))
+    assert results[0] == results[1] and sorted(folded) == ["negative", "twice"]
+
+
+def test_values_that_a_step_may_not_take_are_folded(spark):
+    """Negative values: the remainder follows the sign of what is divided, step by step."""
+    rows = [("k", i * 10**9, i, (-1) ** i * i, None) for i in range(60)]
+    trace = spark.createDataFrame(rows, KINDS)
+    spec = "input a: Int64\noutput x := (x[-1].defaults(to: 5) * 3 + a) % 17"
+    one, many = (sorted(map(str, evaluate(spec, trace, chunk_rows=c).values("x").collect())) for c in (10**6, 9))
+    assert one == many and any("x=-" in r for r in one)
+
+
 WINDOWS = {
     "count": lambda v: len(v), "sum": lambda v: sum(v), "min": lambda v: min(v, default=None), "max": lambda v: max(v, default=None), "avg": lambda v: sum(v) / len(v) if v else None,
 }
