@@ -1,4 +1,12 @@
-"""A corpus from documents to packed sequences: five stages, each on all that the one before kept."""
+"""A corpus from documents to packed sequences: five stages, each on all that the one before kept.
+
+Defined results: null and empty texts, and texts of fewer words than the rules ask for, go in the
+first stage; of documents with equal texts, and of near duplicates, the one with the smallest
+identifier stays (null last, then the first by file and row), so repeated rows leave one; very long
+texts are read whole by every stage and cut only into pieces; a row with a null identifier is a
+document like any other; an empty table gives no pieces; further columns, whatever their names, go
+through all stages but the last and change nothing.
+"""
 
 from __future__ import annotations
 

@@ -34,7 +34,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Colu
 
     usable is a condition on doc_id: rows that it rejects are never read as examples. Only the
     chosen identifiers, at most twice per_class rows, are broadcast. Of rows with equal
-    identifiers one is taken.
+    identifiers the smallest text is taken, so that training can be repeated.
     """
     h = F.xxhash64(F.col("doc_id").cast("string"))
     own = (
@@ -44,5 +44,6 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Colu
         .withColumn("h", h)
     )
     chosen = own.where("y = 0").orderBy("h").limit(per_class).unionAll(own.where("y = 1").orderBy("h").limit(per_class))
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
-    return texts.select("h", F.coalesce("text", F.lit("")).alias("text"), "y").coalesce(1).sortWithinPartitions("h")
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    texts = texts.groupBy("doc_id", "h", "y").agg(F.min("text").alias("text"))
+    return texts.select("h", "text", "y").coalesce(1).sortWithinPartitions("h", "text")

@@ -17,6 +17,7 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
@@ -140,12 +141,11 @@ def measurements(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return map_rows(src, make, f"`{id_col}` {kind}, " + ", ".join(f"{m} long" for m in MEASURES))
 
 
-def failures(prefix: str = "") -> Column:
-    """The bits of the rules that failed, of columns of MEASURES with a prefix to their names."""
+def failures() -> Column:
+    """The bits of the rules that failed, of columns of MEASURES."""
     bits = F.lit(0).cast("long")
     for i, rule in enumerate(RULES):
-        fails = re.sub(r"\b(" + "|".join(MEASURES) + r")\b", rf"{prefix}\1", rule.fails)
-        bits = bits.bitwiseOR(F.when(F.expr(fails), F.lit(1 << i)).otherwise(F.lit(0)).cast("long"))
+        bits = bits.bitwiseOR(F.when(F.expr(rule.fails), F.lit(1 << i)).otherwise(F.lit(0)).cast("long"))
     return bits
 
 
@@ -154,9 +154,9 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return measurements(docs, id_col, text_col).withColumn("fail_bits", failures())
 
 
-def passes(policy: Policy, bits: Column | None = None) -> Column:
+def passes(policy: Policy) -> Column:
     """Whether a ledger row passes a policy."""
-    return (F.col("fail_bits") if bits is None else bits).bitwiseAND(F.lit(policy.mask).cast("long")) == 0
+    return F.col("fail_bits").bitwiseAND(F.lit(policy.mask).cast("long")) == 0
 
 
 def ablations(rows: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
@@ -188,20 +188,17 @@ def judged(docs: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
-    """The documents that pass, with their own columns. Verdicts are made from each row's own text
-    in place, so nothing is shuffled and repeated identifiers cannot mix."""
-    names = docs.columns
+    """The documents whose ledger passes, with their own columns. A row goes through the ledger as one
+    struct beside its measurements, so names cannot clash, nothing is shuffled and repeated
+    identifiers cannot mix."""
 
     def make():
         def fn(batch):
             rows = [measure(t) for t in texts_of(batch.column("text"))]
             cols = zip(*rows, strict=True) if rows else [()] * len(MEASURES)
-            own = {n: batch.column(n) for n in names}
-            return own | {f"__{m}": list(c) for m, c in zip(MEASURES, cols, strict=True)}
+            return {"row": pa.StructArray.from_arrays(batch.columns, names=batch.schema.names)} | dict(zip(MEASURES, map(list, cols), strict=True))
 
         return fn
 
-    schema = StructType([*docs.schema.fields, *(StructField(f"__{m}", LongType()) for m in MEASURES)])
-    out = map_rows(docs, make, schema)
-    bits = failures("__")
-    return out.where(passes(BASE, bits) & passes(policy, bits)).select(*names)
+    schema = StructType([StructField("row", docs.schema), *(StructField(m, LongType()) for m in MEASURES)])
+    return map_rows(docs, make, schema).withColumn("fail_bits", failures()).where(passes(BASE) & passes(policy)).select("row.*")

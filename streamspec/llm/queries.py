@@ -71,6 +71,16 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(_table(spark, sf_dir, "documents"), *_ranks(), digests=True)
 
 
+def pii_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op3 finds of the kinds that SQL can find as well."""
+    return op3_pii(spark, sf_dir).select("doc_id", *[f"n_{k}" for k in pii.BASE_KINDS], "base_sha256")
+
+
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the default policy adds, from op5's ledger."""
+    return quality_rules.ablations(quality_rules.ledger(_table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extract": op1_html_extract,
     "op2_exact_dedup": op2_exact_dedup,
@@ -82,6 +92,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_toxicity": op9_toxicity,
     "op10_bpe": op10_bpe,
+    "pii_base": pii_base,
+    "quality_ablations": quality_ablations,
 }
 
 OP5_SQL = r"""
@@ -121,6 +133,36 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM b
 """
 
+# Each rule of the default policy: its bit, and the other bits of the policy.
+ABLATIONS_SQL = f"""
+WITH l AS (SELECT fail_bits & 111 AS bits FROM ({OP5_SQL})),
+r(rule, bit) AS (VALUES ('few_words', 1), ('repeated_windows', 2), ('symbols', 4), ('duplicate_lines', 8), ('shouting', 32), ('few_letters', 64))
+SELECT rule, count(*) FILTER (bits & bit <> 0) AS n_failed, count(*) FILTER (bits & bit <> 0 AND bits & (111 - bit) = 0) AS n_failed_alone,
+       count(*) FILTER (bits & (111 - bit) <> 0) AS n_failed_without
+FROM l, r GROUP BY rule
+"""
+
+# Matches and what lies between them give the places; a match that fails its check is left out.
+PII_SQL = r"""
+WITH k(kind, n, p) AS (VALUES ('email', 0, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+'), ('ip', 1, '[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)'),
+  ('card', 2, '[0-9](?:[\x20-]?[0-9])+'), ('phone', 3, '\+[0-9][\x20().0-9-]+[0-9]')),
+m AS (SELECT doc_id, kind, n, regexp_extract_all(t, p) AS hits, string_split_regex(t, p) AS gaps FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents), k),
+s AS (SELECT doc_id, kind, n, hits, gaps, unnest(range(1, len(hits) + 1)) AS i FROM m),
+x AS (SELECT doc_id, kind, n, hits[i] AS v, (list_sum(list_transform(gaps[1:i], lambda y: length(y))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda y: length(y))), 0))::BIGINT AS a FROM s),
+y AS (SELECT *, a + length(v) AS b, regexp_replace(v, '[^0-9]', '', 'g') AS d FROM x),
+z AS (
+  SELECT * FROM y WHERE CASE kind
+    WHEN 'ip' THEN list_bool_and(list_transform(string_split(v, '.'), lambda q: length(ltrim(q, '0')) <= 3 AND coalesce(try_cast(nullif(ltrim(q, '0'), '') AS INT), 0) <= 255))
+    WHEN 'phone' THEN length(d) BETWEEN 10 AND 15
+    WHEN 'card' THEN length(d) BETWEEN 14 AND 19 AND list_sum(list_transform(range(1, length(d) + 1), lambda j:
+      CASE WHEN j % 2 = 1 THEN substr(d, length(d) - j + 1, 1)::INT ELSE 2 * substr(d, length(d) - j + 1, 1)::INT - CASE WHEN substr(d, length(d) - j + 1, 1)::INT > 4 THEN 9 ELSE 0 END END)) % 10 = 0
+    ELSE true END
+)
+SELECT doc_id, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone,
+       sha256(coalesce(string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, n), '')) AS base_sha256
+FROM documents LEFT JOIN z USING (doc_id) GROUP BY doc_id
+"""
+
 # The article of the generated pages, by the markup that they all have.
 OP1_SQL = r"""
 WITH a AS (
@@ -182,4 +224,4 @@ SELECT doc_id, coalesce(n.n, 0) AS n_shingles, g.component_id, doc_id = g.compon
 FROM (SELECT doc_id, min(other) AS component_id FROM r GROUP BY doc_id) g LEFT JOIN n USING (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_html_extract": OP1_SQL, "op6_near_dedup": OP6_SQL, "op2_exact_dedup": OP2_SQL, "op4_warc": OP4_SQL, "op5_quality_rules": OP5_SQL}
+ORACLE_SQL: dict[str, str] = {"pii_base": PII_SQL, "quality_ablations": ABLATIONS_SQL, "op1_html_extract": OP1_SQL, "op6_near_dedup": OP6_SQL, "op2_exact_dedup": OP2_SQL, "op4_warc": OP4_SQL, "op5_quality_rules": OP5_SQL}

@@ -1,11 +1,14 @@
+import math
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from streamspec.llm import quality_classifier, toxicity
-from streamspec.llm.learning import Ftrl
+from streamspec.llm.learning import Ftrl, labelled_sample
 
 
 @pytest.fixture(scope="module")
@@ -41,6 +44,117 @@ def test_toxicity_on_held_out_rows(tables):
     assert 0 < len(w) < toxicity.MAX_WEIGHTS
 
 
+def plain_ftrl(examples, epochs, alpha, l1, l2, least, gradient):
+    """Weights by the rule as it is written, one coordinate at a time. gradient gives d loss / d weight."""
+    z, n = {}, {}
+
+    def weight(i):
+        if abs(z.get(i, 0.0)) <= l1:
+            return max(0.0, least)
+        w = ((1 if z[i] > 0 else -1) * l1 - z[i]) / ((1.0 + math.sqrt(n[i])) / alpha + l2)
+        return max(w, least)
+
+    for _ in range(epochs):
+        for x, y in examples:
+            for i, (g, w) in {i: (g, weight(i)) for i, g in gradient(x, y, weight).items()}.items():
+                sigma = (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / alpha
+                z[i] = z.get(i, 0.0) + g - sigma * w
+                n[i] = n.get(i, 0.0) + g * g
+    return {i: weight(i) for i in z}
+
+
+def plain_features(text):
+    """Places and values of a text for the quality classifier, token by token."""
+    full = 2**64 - 1
+    a, b, c = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9
+    tokens = re.findall(r"[^\W\d_]+|\d+|[^\w\s]+|_+", text)
+    word = [zlib.crc32(t.lower().encode()) for t in tokens]
+    shape = [zlib.crc32(quality_classifier._shape(t).encode()) for t in tokens]
+    shape = [s ^ c if i and word[i] == word[i - 1] else s for i, s in enumerate(shape)]
+    keys = [w * a & full for w in word]
+    pairs = [((p * b + q & full) * a + 1) & full for p, q in zip(word, word[1:])]
+    keys += pairs + [3] * (len(pairs) - len(set(pairs)))
+    keys += [(((p * b + q & full) * b + r & full) * c + 2) & full for p, q, r in zip(shape, shape[1:], shape[2:])]
+    counts = Counter(((k ^ (k >> 31)) * b & full) >> (64 - quality_classifier.BITS) for k in keys)
+    size = math.sqrt(sum(math.log1p(m) ** 2 for m in counts.values()))
+    return {i: math.log1p(m) / size for i, m in counts.items()}
+
+
+def test_quality_against_a_plain_version(docs):
+    texts = [r.text or "" for r in docs.limit(60).collect()] + ["", "a a a 1 1 _ ?!"]
+    rows = [(t, i % 2) for i, t in enumerate(t[:3000] for t in texts)]
+    bias = 1 << quality_classifier.BITS
+
+    def score(x, weight):
+        return 1 / (1 + math.exp(-sum(weight(i) * v for i, v in x.items())))
+
+    def gradient(x, y, weight):
+        p = score(x, weight)
+        return {i: (p - y) * v for i, v in x.items()}
+
+    examples = [(plain_features(t) | {bias: 1.0}, y) for t, y in rows]
+    want = plain_ftrl(examples, quality_classifier.EPOCHS, 4.0, 0.02, 0.01, -math.inf, gradient)
+    got = quality_classifier.fit(rows)
+    assert all(abs(got[i] - w) < 1e-4 * max(1, abs(w)) for i, w in want.items()) and set(np.flatnonzero(got)) <= set(want)
+    frame = docs.sparkSession.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    for r in quality_classifier.score(frame, got).collect():
+        assert abs(r.score - score(examples[r.doc_id][0], lambda i: float(got[i]))) < 1e-6
+
+
+def test_toxicity_against_a_plain_version(docs):
+    clean = [r.text[:1500] for r in docs.where("text IS NOT NULL").limit(60).collect()]
+    bad = ["numskull", "oafish", "cretins"]
+    rows = [(f"{t}. You {bad[i % 3]} there! {t[:200]}" if i % 3 else t, int(bool(i % 3))) for i, t in enumerate(clean)]
+    toxic, total = sum(y for _, y in rows), len(rows)
+
+    def words(text):
+        return re.findall(r"[^\W\d_]+", text)
+
+    def told(text):
+        return {f for w in words(text) for f in [w.lower(), *(w.lower()[:k] + "*" for k in (4, 5, 6) if len(w) > k)]}
+
+    def g_test(a, n):
+        """Twice the log-likelihood ratio of a table of two by two, where toxic documents have more than their share."""
+        if a / n <= toxic / total:
+            return 0.0
+        table = [(a, n, toxic), (n - a, n, total - toxic), (toxic - a, total - n, toxic), (total - toxic - n + a, total - n, total - toxic)]
+        return 2 * sum(o * math.log(o / (r * c / total)) for o, r, c in table if o)
+
+    here, every = Counter(f for t, y in rows if y for f in told(t)), Counter(f for t, _ in rows for f in told(t))
+    bar = g_test(3, 3)
+    kept = {f for f, a in here.items() if a >= 3 and g_test(a, every[f]) >= bar - 1e-9}
+
+    def bag(text):
+        return [told(text[a:b]) & kept for a, b in toxicity.sentences(text)]
+
+    def gradient(x, y, weight):
+        s = [1 / (1 + math.exp(-(toxicity.BIAS + sum(weight(f) for f in own)))) if own else None for own in x]
+        left = math.prod(1 - p for p in s if p is not None)
+        out = Counter()
+        for own, p in zip(x, s, strict=True):
+            for f in own:
+                out[f] += p * (-left / (1 - left) if y else 1.0)
+        return out
+
+    examples = [(bag(t), y) for t, y in rows]
+    want = {f: w for f, w in plain_ftrl(examples, toxicity.EPOCHS, toxicity.ALPHA, toxicity.L1, 0.001, 0.0, gradient).items() if w}
+    got = toxicity.fit(rows)
+    assert set(got) == set(want) and all(abs(got[f] - w) < 1e-3 * max(1, w) for f, w in want.items())
+    score = toxicity.Scorer(got)
+    plain = 1 / (1 + math.exp(-toxicity.BIAS))
+    for t, y in rows:
+        own = [1 / (1 + math.exp(-(toxicity.BIAS + sum(got.get(f, 0.0) for f in told(t[a:b]))))) for a, b in toxicity.sentences(t)]
+        found = 1 - math.prod(1 - max(0.0, (p - plain) / (1 - plain)) for p in own)
+        assert abs(score(t)[0] - found) < 1e-6
+
+
+def test_equal_identifiers_give_the_same_sample(spark):
+    docs = spark.createDataFrame([(i % 7, f"text {i} of it") for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(7)], "doc_id long, quality int, toxic int")
+    own = [[tuple(r) for r in labelled_sample(docs.repartition(n), labels, "quality", F.lit(True), 10).collect()] for n in (1, 5)]
+    assert own[0] == own[1] and len(own[0]) == 7
+
+
 def test_labels_of_the_held_out_fold_are_never_used(tables):
     docs, labels = tables
     few = labels.limit(400)
