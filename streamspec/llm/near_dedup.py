@@ -46,7 +46,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -269,8 +269,14 @@ def placed(classes: DataFrame, percent: int) -> DataFrame:
     return weighted.join(plan, "label").select("node", "label", "blocks", block)
 
 
+def _place(partitions: int, number: Column, *names: str) -> Column:
+    """The partition of a numbered cell: those of one cluster follow each other, so that none of them
+    meet in a partition while others are idle."""
+    return F.pmod(F.pmod(F.xxhash64(*names), F.lit(partitions)) + number, F.lit(partitions)).cast("int").alias("place")
+
+
 def _by_cell(rows: DataFrame, partitions: int, fn: Callable[[list[dict]], dict | None], schema: str) -> DataFrame:
-    """What fn makes of the rows of each cell; cells are bounded."""
+    """What fn makes of the rows of each cell, which is in the partition of its place; cells are bounded."""
     made_of = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,7 +297,7 @@ def _by_cell(rows: DataFrame, partitions: int, fn: Callable[[list[dict]], dict |
                     own.append(r)
         yield from done()
 
-    return rows.repartition(partitions, "cell").sortWithinPartitions("cell").mapInArrow(run, schema)
+    return rows.repartitionById(partitions, F.col("place")).sortWithinPartitions("cell").drop("place").mapInArrow(run, schema)
 
 
 def _registers(rows: list[dict]) -> np.ndarray:
@@ -309,7 +315,7 @@ def leaders(members: DataFrame, partitions: int) -> DataFrame:
         i = int(agree.argmax())
         return {"label": [rows[i]["label"]], "slot": [rows[i]["block"] % LEADERS], "agree": [int(agree[i])], "digest": [rows[i]["digest"]]}
 
-    named = _by_cell(members.select("cell", "label", "block", "digest", "registers"), partitions, fn, "label long, slot int, agree long, digest binary")
+    named = _by_cell(members.select("place", "cell", "label", "block", "digest", "registers"), partitions, fn, "label long, slot int, agree long, digest binary")
     best = F.max(F.struct("agree", "digest")).alias("best")
     return materialise(named.groupBy("label", "slot").agg(best).select("label", "slot", "best.digest"), "leaders")
 
@@ -327,8 +333,8 @@ def led(members: DataFrame, percent: int, partitions: int) -> DataFrame:
     # A leader goes to all blocks of its cluster: copies of it to SPREAD blocks each, so that no key is hot.
     copies = members.join(chosen.select("digest", "slot"), "digest").withColumn("part", F.explode(F.sequence(F.lit(0), F.floor((F.col("blocks") - 1) / SPREAD).cast("int"))))
     goals = chosen.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("digest", "to", F.floor(F.col("to") / SPREAD).cast("int").alias("part"))
-    names = ("cell", "digest", "registers", "shingles", "slot")
-    sent = copies.join(goals, ["digest", "part"]).withColumn("cell", F.xxhash64("label", "to")).select(*names)
+    names = ("place", "cell", "digest", "registers", "shingles", "slot")
+    sent = copies.drop("place").join(goals, ["digest", "part"]).withColumns({"cell": F.xxhash64("label", "to"), "place": _place(partitions, F.col("to"), "label")}).select(*names)
 
     def fn(rows: list[dict]) -> dict:
         rows = sorted(rows, key=lambda r: -1 if r["slot"] is None else r["slot"])
@@ -394,13 +400,15 @@ def unresolved(members: DataFrame, told: DataFrame, ties: DataFrame, percent: in
     x = plan.select("label", *[F.col(k).alias(f"x_{k}") for k in keys], F.col("blocks").alias("x_blocks"), *[f"{n}_{k}" for k in keys for n in ("low", "high")])
     meet = " AND ".join(f"{k} BETWEEN low_{k} - 1 AND high_{k} + 1" for k in keys)
     met = areas.join(x, "label").where(meet).withColumn("x_block", F.explode(F.sequence(F.lit(0), F.col("x_blocks") - 1))).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = materialise(met.select("label", *keys, "block", *[f"x_{k}" for k in keys], "x_block", F.xxhash64("label", *keys, "block", *[f"x_{k}" for k in keys], "x_block").alias("cell")), "cells")
+    xs = [f"x_{k}" for k in keys]
+    cell, place = F.xxhash64("label", *keys, "block", *xs, "x_block").alias("cell"), _place(partitions, F.col("x_block") * F.col("blocks") + F.col("block"), "label", *keys, *xs)
+    met = materialise(met.select("label", *keys, "block", *xs, "x_block", cell, place), "cells")
     ones = own.join(areas, ["label", *keys]).withColumn("block", F.pmod("h", F.col("blocks")).cast("int"))
-    ones = ones.join(met.select("label", *keys, "block", "cell"), ["label", *keys, "block"]).withColumn("asks", F.lit(False))
+    ones = ones.join(met.select("label", *keys, "block", "cell", "place"), ["label", *keys, "block"]).withColumn("asks", F.lit(False))
     others = asking.join(plan.select("label", *keys, "blocks"), ["label", *keys]).withColumn("block", F.pmod("h", F.col("blocks")).cast("int"))
-    goals = met.select("label", *[F.col(f"x_{k}").alias(k) for k in keys], F.col("x_block").alias("block"), "cell")
+    goals = met.select("label", *[F.col(f"x_{k}").alias(k) for k in keys], F.col("x_block").alias("block"), "cell", "place")
     others = others.join(goals, ["label", *keys, "block"]).withColumn("asks", F.lit(True))
-    names = ("cell", "digest", "group", "rest", "far", "asks")
+    names = ("place", "cell", "digest", "group", "rest", "far", "asks")
     sets = members.select("digest", "registers", "shingles")
     cells = ones.select(*names).unionByName(others.select(*names)).join(sets, "digest")
 
@@ -432,8 +440,8 @@ def links(members: DataFrame, percent: int, partitions: int) -> DataFrame:
         found = forest([np.frombuffer(r["shingles"], np.uint64) for r in rows], _registers(rows), percent)
         return {"a": [rows[i]["digest"] for i, _ in found], "b": [rows[j]["digest"] for _, j in found]}
 
-    members = members.withColumn("cell", F.xxhash64("label", "block"))
-    out = _by_cell(members.where("blocks = 1").select("cell", "digest", "registers", "shingles"), partitions, fn, "a binary, b binary")
+    members = members.withColumns({"cell": F.xxhash64("label", "block"), "place": _place(partitions, F.col("block"), "label")})
+    out = _by_cell(members.where("blocks = 1").select("place", "cell", "digest", "registers", "shingles"), partitions, fn, "a binary, b binary")
     large = members.where("blocks > 1")
     if large.isEmpty():
         return out
