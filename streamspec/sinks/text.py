@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime
 import sys
+import time as clock
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,6 +39,57 @@ def rfc3339(nanos: int) -> str:
     return f"{day}.{rest:09d}Z" if rest else f"{day}Z"
 
 
+def speed(events: int, seconds: float) -> str:
+    """How fast events were evaluated."""
+    if not events or not seconds:
+        return f"{events} events"
+    return f"{events} events, {events / seconds:.0f} events/s, {1e9 * seconds / events:.0f} ns/event"
+
+
+def stamped(how: str, ts: int, start: int) -> str | None:
+    """A time as text, None to hide it."""
+    if how not in TIMES:
+        raise ValueError(f"{how} is none of {', '.join(TIMES)}")
+    if how == "hide":
+        return None
+    ts += start if how.startswith("absolute") else 0
+    if how.endswith("nanos"):
+        return str(ts)
+    if how.endswith("human"):
+        return (human if how.startswith("relative") else rfc3339)(ts)
+    return f"{ts // NANOS}.{ts % NANOS:09d}"
+
+
+class Printer:
+    """Prints what a monitor tells as it comes, in the form of ``lines``."""
+
+    def __init__(self, monitor, time: str = "hide", verbosity: str = "triggers", out=None):
+        self.monitor, self.time, self.out, self.events = monitor, time, out or sys.stderr, 0
+        self.level = VERBOSITY.index(verbosity)
+        self.number = {n: i for i, n in enumerate(monitor.spec.outputs)}
+
+    def __call__(self, update, now: int, start: int) -> None:
+        parts = []
+        instants = [*update.timed, (now, update.event)]
+        for i, (ts, values) in enumerate(instants):
+            if self.level >= VERBOSITY.index("outputs"):
+                from streamspec.streaming.online import shown
+
+                parts += [(ts, i, 0, self.number[n], f"OutputStream[{self.number[n]}] := {'None' if v is None else shown(v)}.") for n, v in values.items()]
+        if self.level >= VERBOSITY.index("triggers"):
+            at = {ts: i for i, (ts, _) in reversed(list(enumerate(instants)))}
+            parts += [(ts, at.get(ts, len(instants)), 1, i, f"Trigger: {m}") for ts, i, m in update.triggers]
+        for ts, *_, text in sorted(parts, key=lambda p: p[:4]):
+            prefix = stamped(self.time, ts, start)
+            print(text if prefix is None else f"{prefix}: {text}", file=self.out, flush=True)
+
+    def summary(self, seconds: float) -> None:
+        if self.level >= VERBOSITY.index("progress"):
+            for x, n in zip(self.monitor.spec.triggers, self.monitor.fired, strict=True):
+                print(f"{n} x {x.message} ({self.monitor.cycles} cycles)", file=self.out)
+            print(speed(self.monitor.cycles, seconds), file=self.out, flush=True)
+
+
 def stamp(how: str, start: int) -> Column | None:
     """The time of a row as text, None to hide it."""
     if how not in TIMES:
@@ -84,9 +136,12 @@ def show(result: Result, start: int = 0, time: str = "hide", verbosity: str = "t
         return
     if channel == "none":
         return
-    out = sys.stdout if channel == "stdout" else sys.stderr
+    out, began = sys.stdout if channel == "stdout" else sys.stderr, clock.perf_counter()
     for r in rows.toLocalIterator():
         print(r.line, file=out)
     if VERBOSITY.index(verbosity) >= VERBOSITY.index("progress"):
+        cycles = 0
         for r in result.statistics().collect():  # a row for each trigger
+            cycles = r.cycles
             print(f"{r.fired} x {r.message} ({r.cycles} cycles)" if r.message is not None else f"{r.cycles} cycles", file=out)
+        print(speed(cycles, clock.perf_counter() - began), file=out)

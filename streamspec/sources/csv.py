@@ -78,19 +78,3 @@ def typed(raw: DataFrame, spec: Spec, time: str | None, delay: str | None = None
     made = raw.select(*values, nanos_of(F.col(f"`{time}`")).alias("__time"))
     trace = from_columns(made, F.col("__time"), check_order=check_order)
     return Trace(trace.df.drop("__time"), trace.start)
-
-
-def from_lines(spark: SparkSession, lines: list[str], spec: Spec, number: int | None = None, delay: str | None = None) -> Trace:
-    """A trace from lines that are already in memory, such as standard input."""
-    import csv as reader
-
-    rows = list(reader.reader(lines))
-    if not rows:
-        raise ValueError("no header")
-    names = [n.strip() for n in rows[0]]
-    schema = ", ".join(f"`{n}` string" for n in names)
-    frame = spark.createDataFrame([tuple(r) for r in rows[1:] if r], schema).coalesce(1)
-    missing = [n for n in spec.inputs if n not in names]
-    if missing:
-        raise ValueError(f"the header has no {', '.join(missing)}")
-    return typed(frame, spec, time_column(names, number), delay, check_order=True)

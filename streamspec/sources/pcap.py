@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import ipaddress
 import re
+import socket
 import struct
 from collections.abc import Callable, Iterator
 
@@ -171,10 +172,24 @@ def read(spark: SparkSession, path: str, spec: Spec, network: str = "0.0.0.0/0",
     return Trace(trace.df.drop("__time", "__n"), trace.start)
 
 
-def live(*_: object) -> None:
-    """Captures of a network interface need a capture library, which Spark does not have: write
-    captures to a folder in files, and read that folder."""
-    raise NotImplementedError(live.__doc__)
+def live(interface: str, network: str = "0.0.0.0/0", most: int | None = None) -> Iterator[dict[str, object]]:
+    """The fields of packets of a network interface as they pass, from a raw socket of this machine.
+
+    Linux only, and only with the right to open raw sockets. Frames that cannot be decoded are left
+    out; most ends the capture after so many packets.
+    """
+    if not hasattr(socket, "AF_PACKET"):
+        raise NotImplementedError("this system has no raw packet sockets: write captures to files and read those")
+    local = ipaddress.ip_network(network, strict=False)
+    every = 3  # the protocol number of all protocols
+    with socket.socket(socket.AF_PACKET, socket.SOCK_RAW, socket.htons(every)) as s:
+        s.bind((interface, 0))
+        n = 0
+        while most is None or n < most:
+            fields = decode(s.recv(65_535), local)
+            n += 1
+            if fields is not None:
+                yield fields
 
 
 def catalogue() -> list[dict]:

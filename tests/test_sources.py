@@ -1,7 +1,10 @@
 """CSV files, packet captures, guessed schemas."""
 
 import json
+import socket
 import struct
+import threading
+import time
 
 import pytest
 
@@ -9,6 +12,8 @@ from streamspec.analysis.checker import check
 from streamspec.plans.batch import evaluate
 from streamspec.sources import csv, infer, pcap
 from streamspec.sources.trace import delayed, duration, from_columns
+from streamspec.streaming import live
+from streamspec.streaming.monitor import Monitor
 
 
 def write(path, text):
@@ -41,11 +46,80 @@ def test_bad_cells_and_columns(spark, tmp_path):
     assert csv.read(spark, write(tmp_path / "x.csv", "a,time\n0.0,1.0"), check("input a: UInt64")).df.first().a == 0
 
 
-def test_lines(spark):
-    spec = check("input a: Int64, s: String\noutput x := a * 2\ntrigger x > 2")
-    trace = csv.from_lines(spark, ["time,s,a", '1.0,"q, r",1', "2.0,#,2"], spec)
-    assert [r.s for r in trace.df.orderBy("__seq").collect()] == ["q, r", None]
-    assert evaluate(spec, trace.df).triggers().count() == 1
+def test_lines_are_replayed_by_their_times():
+    spec = check("input a: Int64, s: String\noutput x := a * 2\noutput y @1Hz := a.hold(or: 0)\ntrigger x > 2\ntrigger y == 1")
+    timed, rows = live.rows(["time,s,a", '1.5,"q, r",1', "3.5,#,2"], spec)
+    out = []
+    live.replay(rows, Monitor(spec), lambda u, now, start: out.append((start, now, u.event, [x[2] for x in u.triggers])))
+    assert timed and out[0] == (1_500_000_000, 0, {"x": 2}, []) and out[1][2:] == ({"x": 4}, ["y = 1", "y = 1", "x > 2"]) and len(out) == 3
+    _, rows = live.rows(["a,s", "1,b", "5,#"], spec)
+    out = []
+    live.replay(rows, Monitor(spec), lambda u, now, start: out.append((start, now)), "100ms")
+    assert out == [(0, 100_000_000), (0, 200_000_000), (0, 200_000_000)]
+    for bad, message in (("time,s,a\n1.0,x,1.5", "not a Int64"), ("time,s\n1.0,x", "has no a"), ("time,s,a\n2.0,x,1\n1.0,x,1", "time goes back")):
+        with pytest.raises(ValueError, match=message):
+            live.replay(live.rows(bad.split("\n"), spec)[1], Monitor(spec), lambda *_: None)
+
+
+def test_cells():
+    for text, kind, value in (("#", "Int64", None), (" true ", "Bool", True), ("-3", "Int8", -3), ("7", "UInt8", 7), ("2.5", "Float64", 2.5), ("a b", "String", "a b"), ("xy", "Bytes", b"xy")):
+        assert live.cell(text, check(f"input a: {kind}").inputs["a"].type, "a") == value
+    for text, kind in (("yes", "Bool"), ("-3", "UInt8"), ("nan", "Float64"), ("x", "Int8")):
+        with pytest.raises(ValueError, match=f"a: not a {kind}"):
+            live.cell(text, check(f"input a: {kind}").inputs["a"].type, "a")
+
+
+def test_following_a_source_with_deadlines_by_the_clock():
+    """No event comes for a while: deadlines are evaluated when they are due, not at the next event."""
+    spec = check("input a: Int64\noutput n @50ms := a.hold(or: 0)\ntrigger a > 1")
+    told, began = [], time.time()
+
+    def source():
+        yield {"a": 1}
+        time.sleep(0.4)
+        yield {"a": 2}
+
+    live.follow(source(), Monitor(spec), lambda u, now, start: told.extend((time.time() - began, ts) for ts, _ in u.timed))
+    assert len(told) >= 8 and all(0 <= at - ts / 1e9 < 0.3 for at, ts in told)
+    assert sum(0.05 < at < 0.35 for at, _ in told) >= 3
+
+    def broken():
+        yield {"a": 1}
+        raise ValueError("the source broke")
+
+    with pytest.raises(ValueError, match="the source broke"):
+        live.follow(broken(), Monitor(spec), lambda *_: None)
+
+
+def test_packets_of_an_interface():
+    spec = check('input UDP::destination: UInt64, IPv4::source: (UInt64, UInt64, UInt64, UInt64), payload: String\noutput x := IPv4::source.0\ntrigger UDP::destination == 47999 "seen"')
+    try:
+        packets = pcap.live("lo", "127.0.0.0/8", 400)
+        with socket.socket(socket.AF_PACKET, socket.SOCK_RAW):
+            pass
+    except (PermissionError, AttributeError, OSError):
+        pytest.skip("no right to open raw sockets")
+    found: list[dict] = []
+
+    def read():
+        for fields in packets:
+            if fields.get("UDP::destination") == 47999:
+                found.append(fields)
+                return
+
+    reader = threading.Thread(target=read, daemon=True)
+    reader.start()
+    with socket.socket(socket.AF_INET, socket.SOCK_DGRAM) as s:
+        for _ in range(50):
+            s.sendto(b"hello", ("127.0.0.1", 47999))
+            reader.join(0.1)
+            if found:
+                break
+    if not found:
+        pytest.skip("no packet passed")
+    m = Monitor(spec)
+    u = m.accept_event({n: found[0].get(n) for n in spec.inputs}, 0)
+    assert found[0]["payload"] == "hello" and u.event == {"x": 127} and [x[2] for x in u.triggers] == ["seen"]
 
 
 def test_empty_trace(spark, tmp_path):
