@@ -401,7 +401,10 @@ def unresolved(members: DataFrame, told: DataFrame, ties: DataFrame, percent: in
     meet = " AND ".join(f"{k} BETWEEN low_{k} - 1 AND high_{k} + 1" for k in keys)
     met = areas.join(x, "label").where(meet).withColumn("x_block", F.explode(F.sequence(F.lit(0), F.col("x_blocks") - 1))).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     xs = [f"x_{k}" for k in keys]
-    cell, place = F.xxhash64("label", *keys, "block", *xs, "x_block").alias("cell"), _place(partitions, F.col("x_block") * F.col("blocks") + F.col("block"), "label", *keys, *xs)
+    cell = F.xxhash64("label", *keys, "block", *xs, "x_block").alias("cell")
+    # Cells are dealt to partitions in turn, those of each task that numbers them from a place of its own.
+    number = F.monotonically_increasing_id()
+    place = F.pmod(number.bitwiseAND(F.lit(2**33 - 1)) + F.pmod(F.hash(F.shiftright(number, 33)), F.lit(partitions)), F.lit(partitions)).cast("int").alias("place")
     met = materialise(met.select("label", *keys, "block", *xs, "x_block", cell, place), "cells")
     ones = own.join(areas, ["label", *keys]).withColumn("block", F.pmod("h", F.col("blocks")).cast("int"))
     ones = ones.join(met.select("label", *keys, "block", "cell", "place"), ["label", *keys, "block"]).withColumn("asks", F.lit(False))
