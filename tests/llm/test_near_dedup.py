@@ -68,7 +68,7 @@ def test_groups_of_near_copies(spark):
     assert found(frame, k=4) == brute(rows, 4, 80)
 
 
-@pytest.mark.parametrize("percent,block", [(50, 40_000), (65, 20_000), (80, 20_000), (80, 40_000), (80, 10**9)])  # 10 and 20 documents a block, all in one
+@pytest.mark.parametrize("percent,block", [(50, 40_000), (65, 20_000), (80, 20_000)])  # 10 and 20 documents a block
 def test_large_clusters_are_cut_into_cells(spark, monkeypatch, percent, block):
     """Copies of one text, of two texts that are not linked or hardly are, and a chain of texts."""
     monkeypatch.setattr(nd, "BLOCK", block)
@@ -83,7 +83,7 @@ def test_large_clusters_are_cut_into_cells(spark, monkeypatch, percent, block):
     assert found(frame, k=4, percent=percent) == brute(rows, 4, percent)
 
 
-@pytest.mark.parametrize("percent", [50, 65, 95])
+@pytest.mark.parametrize("percent", [50, 95])
 def test_any_threshold(spark, docs, percent):
     r = random.Random(percent)
     texts = [t for s in range(20) for t in near_copies(12, 60, r.randint(1, 16), s)]
