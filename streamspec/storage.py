@@ -11,6 +11,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,10 +34,26 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/streamspec/{name}-{uuid.uuid4().hex}"
 
 
+def _in_store(spark: SparkSession, path: str):
+    """A path and the store that it is in, through Hadoop."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Deletes a scratch folder, whatever store it is in."""
+    p, store = _in_store(spark, path)
+    store.delete(p, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p, store = _in_store(spark, path)
+    return store.exists(p)
+
+
 def clear(spark: SparkSession) -> None:
     """Deletes all scratch tables of a shared folder. Call it when no result of any query is read any more."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/streamspec")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    drop_path(spark, f"{shared_dir(spark)}/streamspec")
     for table in spark.catalog.listTables():
         if table.name.startswith("streamspec_"):
             spark.sql(f"DROP TABLE IF EXISTS `{table.name}`")
@@ -47,4 +64,17 @@ def materialise(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     depend on the executors that made it, and its size is known to the planner."""
     path = scratch(df.sparkSession, name)
     df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    made = df.sparkSession.read.schema(df.schema).parquet(path)
+    _WRITTEN[made] = path
+    return made
+
+
+#: Where the tables of materialise are.
+_WRITTEN: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes tables of materialise that no result reads any more; others are left alone."""
+    for df in tables:
+        if df is not None and (path := _WRITTEN.pop(df, None)):
+            drop_path(df.sparkSession, path)
