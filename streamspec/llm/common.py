@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streamspec.storage import materialise, scratch
+from streamspec.storage import discard, drop_path, exists, materialise, scratch
 
-__all__ = ["WS", "Memo", "bucketed", "crc_bucket", "drop_path", "exists", "map_rows", "materialise", "scratch", "texts_of"]
+__all__ = ["WS", "Memo", "bucketed", "crc_bucket", "discard", "drop_path", "exists", "map_rows", "materialise", "scratch", "texts_of"]
 
 #: ASCII white space, as the contracts define it, for Java's and Python's regular expressions.
 WS = r"[\x20\x09-\x0D]+"
@@ -25,23 +25,6 @@ def bucketed(df: DataFrame, buckets: int, key: str, name: str) -> DataFrame:
     return df.sparkSession.table(table)
 
 
-def _in_store(spark: SparkSession, path: str):
-    """A path and the store that it is in, through Hadoop."""
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Delete a scratch folder, whatever store it is in."""
-    p, store = _in_store(spark, path)
-    store.delete(p, True)
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    p, store = _in_store(spark, path)
-    return store.exists(p)
-
-
 def texts_of(column: pa.ChunkedArray | pa.Array) -> list[str]:
     """An Arrow string column as Python strings, null as empty."""
     return ["" if x is None else x for x in column.to_pylist()]

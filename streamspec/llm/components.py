@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from streamspec.llm.common import materialise
+from streamspec.llm.common import discard, materialise
 
 #: Edges in a written partition, and partitions at least.
 PART_ROWS, LEAST_PARTS = 100_000, 6
@@ -32,7 +32,7 @@ def components(edges: DataFrame) -> DataFrame:
         return df.coalesce(max(LEAST_PARTS, mark[0] // PART_ROWS + 1))
 
     now = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    mark = _mark(now)
+    mark, old = _mark(now), now
     while mark[0]:
         both = now.select("a", "b").unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = materialise(small(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))), "least")
@@ -40,7 +40,9 @@ def components(edges: DataFrame) -> DataFrame:
         low = materialise(small(large.groupBy("a").agg(F.min("b").alias("m"))), "least")
         tied = large.join(low, "a")
         now = tied.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
-        now = materialise(small(now.distinct()), "edges")
+        last, now = old, materialise(small(now.distinct()), "edges")
+        discard(last, least, large, low)  # what is kept of them is in the new edges
+        old = now
         before, mark = mark, _mark(now)
         if mark == before:
             break

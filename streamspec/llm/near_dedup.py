@@ -51,7 +51,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from streamspec.llm.common import map_rows, materialise, texts_of
+from streamspec.llm.common import discard, map_rows, materialise, texts_of
 from streamspec.llm.components import components
 from streamspec.llm.exact_dedup import located
 
@@ -255,7 +255,9 @@ def clusters(classes: DataFrame, percent: int) -> DataFrame:
     parts = F.transform(F.sequence(F.lit(0), F.lit(number - 1)), lambda j: F.xxhash64(j, F.substring(F.col("registers"), j * (2 * rows) + 1, F.lit(2 * rows))))
     every = classes.select(F.explode(parts).alias("band"), "node")
     ties = materialise(every.groupBy("band").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("band", "a"), "buckets")
-    return components(every.join(ties, "band").select("a", F.col("node").alias("b")))
+    out = components(every.join(ties, "band").select("a", F.col("node").alias("b")))
+    discard(ties)
+    return out
 
 
 def placed(classes: DataFrame, percent: int) -> DataFrame:
@@ -474,11 +476,14 @@ def _groups(docs: DataFrame, at: str, k: int, percent: int, id_col: str, text_co
 
     texts = docs.select(F.col(at).alias("at"), F.col(text_col).alias("text")).join(own.select("at", "label", "blocks", "block", "digest", "n", "registers"), "at")
     members = materialise(map_rows(texts.drop("at"), make, "label long, blocks int, block int, digest binary, n long, registers binary, shingles binary"), "sets")
+    discard(own)
     tied = components(links(members, percent, partitions)).withColumnRenamed("node", "digest")
+    discard(members)
     heads = classes.select("digest", F.struct("no_id", "id", "at").alias("head"))
     joined = heads.join(tied, "digest")
     merged = joined.join(joined.groupBy("label").agg(F.min("head").alias("least")), "label").select("digest", "least")
     final = materialise(heads.join(merged, "digest", "left").select("digest", F.coalesce("least", "head").alias("component")), "groups")
+    discard(classes)
     alone = rows.where("n = 0").select("id", "at", "n", F.struct(F.col("id").isNull().alias("no_id"), "id", "at").alias("component"))
     return rows.where("n > 0").select("id", "at", "n", "digest").join(final, "digest").select("id", "at", "n", "component").unionByName(alone)
 

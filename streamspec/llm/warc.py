@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, DataType
 
-from streamspec.llm.common import materialise, scratch
+from streamspec.llm.common import discard, materialise, scratch
 from streamspec.llm.exact_dedup import located, sha256
 
 MAGIC = b"WARC/1."
@@ -221,10 +221,13 @@ def entries(found: DataFrame, most: int) -> DataFrame:
     rounds = max(0, most - 1).bit_length()
     for i in range(rounds):
         further = reached.join(jumps, ["path", "offset"]).select("path", F.col("exit").alias("offset")).where("offset IS NOT NULL")
-        reached = materialise(reached.unionByName(further).distinct(), "reached")
+        last, reached = reached, materialise(reached.unionByName(further).distinct(), "reached")
+        discard(last)
         if i + 1 < rounds:
             second = jumps.select("path", F.col("offset").alias("exit"), F.col("exit").alias("exit2"))
-            jumps = materialise(jumps.join(second, ["path", "exit"]).select("path", "offset", F.col("exit2").alias("exit")).where("exit IS NOT NULL"), "jumps")
+            last, jumps = jumps, materialise(jumps.join(second, ["path", "exit"]).select("path", "offset", F.col("exit2").alias("exit")).where("exit IS NOT NULL"), "jumps")
+            discard(last)
+    discard(jumps)
     return reached
 
 
@@ -298,7 +301,10 @@ def read(spark: SparkSession, path: str, size: int = RANGE, with_payload: bool =
     """The true records of all archives under path."""
     cut, runs, most = ranges(spark, path, size)
     found = materialise(candidates(in_runs(cut, runs)), "candidates")
-    return walk(cut, entries(found, most), size, runs, with_payload)
+    starts = entries(found, most)
+    if most > 1:  # else the entries are read from the candidates
+        discard(found)
+    return walk(cut, starts, size, runs, with_payload)
 
 
 def _page(urn: str, kind: DataType) -> Column:
