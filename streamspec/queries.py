@@ -7,15 +7,19 @@ order), c (user of clicks), e (errors true, views false). Times are nanoseconds
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Callable
 
+import pyarrow as pa
+import pyarrow.fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from streamspec.analysis.checker import check
 from streamspec.plans.batch import Result, evaluate
 from streamspec.sinks import text
-from streamspec.sources import csv
+from streamspec.sources import csv, pcap
 from streamspec.sources.infer import infer
 from streamspec.sources.trace import Trace, delayed
 from streamspec.storage import scratch
@@ -246,6 +250,47 @@ def csv_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     return res.line.df.where("n IS NOT NULL OR k IS NOT NULL").select(F.col("__ts").alias("ts"), F.lit(read.start).alias("start"), F.col("n")["v"].alias("n"), F.col("k")["v"].alias("k"))
 
 
+def packets(spark: SparkSession, sf_dir: str) -> str:
+    """Events as UDP packets in capture files, one of each partition, written under names of their own so
+    that a task that runs again writes the same; the folder."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    cells = events.select(F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"), "event_id", "user_id", "event_type")
+    folder = scratch(spark, "pcap")
+
+    def write(batches):
+        part, data = TaskContext.get().partitionId(), [struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 65_535, 1)]
+        for batch in batches:
+            for r in batch.to_pylist():
+                payload = r["event_type"].encode()
+                udp = struct.pack("!HHHH", 1024 + r["event_id"] % 50_000, 53, 8 + len(payload), 0) + payload
+                target = (192, 168, 1, 1) if r["event_type"] in ("click", "view") else (8, 8, 8, 8)
+                source = (10, *(r["user_id"] >> k & 255 for k in (16, 8, 0)))
+                ip = struct.pack("!BBHHHBBH4s4s", 0x45, 0, 20 + len(udp), 0, 0, 64, 17, 0, bytes(source), bytes(target))
+                frame = bytes(range(12)) + struct.pack("!H", 0x0800) + ip + udp
+                data.append(struct.pack("<IIII", r["micros"] // 10**6, r["micros"] % 10**6, len(frame), len(frame)) + frame)
+        system, path = pa.fs.FileSystem.from_uri(folder)
+        system.create_dir(path)
+        with system.open_output_stream(f"{path}/{part:05d}.pcap") as f:
+            f.write(b"".join(data))
+        yield pa.RecordBatch.from_pydict({"packets": [len(data) - 1]})
+
+    cells.mapInArrow(write, "packets long").agg(F.sum("packets")).collect()
+    return folder
+
+
+def pcap_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events through packet captures: Ethernet, IPv4 and UDP fields, payload and direction."""
+    octets = "(UInt64, UInt64, UInt64, UInt64)"
+    spec = check(f"""input IPv4::source: {octets}, IPv4::ttl: UInt64, UDP::source: UInt64, UDP::length: UInt64, payload: String, direction: String, TCP::source: UInt64
+output host := IPv4::source.2 * 256 + IPv4::source.3
+output port := UDP::source + IPv4::ttl - 64
+output size := UDP::length - 8
+output what := if direction = "Incoming" then payload else "out"
+output tcp @payload := TCP::source.get().defaults(to: 0)""")
+    res = evaluate(spec, pcap.read(spark, packets(spark, sf_dir), spec, "192.168.0.0/16").df)
+    return res.values("host", "port", "size", "what", "tcp").select("ts", "host", "port", "size", "what", "tcp")
+
+
 def delayed_clock(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events without times: one each 250 ms, in the order of their numbers."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.col("user_id").alias("u"))
@@ -300,6 +345,8 @@ Q["csv_trace"] = (csv_trace, f"""
 WITH {TRACE_SQL}, h AS (
   SELECT ts, s, u, (SELECT min(epoch_us(ts)) FROM events) * 1000 AS start, last_value(CASE WHEN s <> 'view' THEN u END IGNORE NULLS) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING) AS last FROM t)
 SELECT ts, start, CASE WHEN s = 'error' THEN coalesce(last, 0) END AS n, CASE WHEN s <> 'view' THEN s END AS k FROM h WHERE s <> 'view'""")
+Q["pcap_trace"] = (pcap_trace, plain("""
+SELECT ts, u % 65536 AS host, 1024 + q % 50000 AS port, length(s)::BIGINT AS size, CASE WHEN s IN ('click', 'view') THEN s ELSE 'out' END AS what, 0::BIGINT AS tcp FROM t"""))
 Q["delayed_clock"] = (delayed_clock, """
 SELECT i * 250000000 AS ts, u - coalesce(lag(u) OVER (ORDER BY i), 0) AS x FROM (SELECT user_id AS u, row_number() OVER (ORDER BY event_id) AS i FROM events)""")
 Q["trigger_lines"] = (trigger_lines, plain("""

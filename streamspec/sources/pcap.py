@@ -172,6 +172,22 @@ def read(spark: SparkSession, path: str, spec: Spec, network: str = "0.0.0.0/0",
     return Trace(trace.df.drop("__time", "__n"), trace.start)
 
 
+def survey(spark: SparkSession, path: str) -> DataFrame:
+    """file, packets and undecodable of each capture: how many frames are there, and how many of them
+    are cut off or malformed, so that a trace leaves them out."""
+    anywhere = ipaddress.ip_network("0.0.0.0/0")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file in batch.column(0).to_pylist():
+                system, name = pa.fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", file))
+                with system.open_input_stream(name) as f:
+                    good = [decode(frame, anywhere) is not None for _, frame in packets(f.read)]
+                yield pa.RecordBatch.from_pydict({"file": [file], "packets": [len(good)], "undecodable": [good.count(False)]})
+
+    return spark.read.format("binaryFile").load(path).select("path").mapInArrow(run, "file string, packets long, undecodable long")
+
+
 def live(interface: str, network: str = "0.0.0.0/0", most: int | None = None) -> Iterator[dict[str, object]]:
     """The fields of packets of a network interface as they pass, from a raw socket of this machine.
 

@@ -190,6 +190,11 @@ def test_capture(spark, capture):
     assert {r.trigger: r.fired for r in evaluate(spec, trace.df).statistics().collect()} == {0: 1, 1: 0, 2: 1}
 
 
+def test_frames_that_cannot_be_decoded_are_counted(spark, capture):
+    (one,) = pcap.survey(spark, capture).collect()
+    assert one.file.endswith("c.pcap") and (one.packets, one.undecodable) == (len(FRAMES), 1)
+
+
 def test_capture_inputs_are_checked(spark, capture):
     with pytest.raises(ValueError):
         pcap.read(spark, capture, check("input IPv4::ttl: Bool"))
