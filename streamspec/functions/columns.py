@@ -62,7 +62,8 @@ def power(a: Column, b: Column, kind: Type, exponent: int | None) -> Column:
             if n:
                 square = square * square
         return out
-    times = F.sequence(F.lit(1).cast("bigint"), F.when(b > 0, b).otherwise(F.lit(1).cast("bigint")))
+    # Beyond 64 either every number overflows or only whether the exponent is odd matters.
+    times = F.sequence(F.lit(1).cast("bigint"), F.when(b > 0, F.least(b, b % 2 + 64)).otherwise(F.lit(1).cast("bigint")))
     product = F.aggregate(times, F.lit(1).cast("bigint"), lambda acc, _: acc * a)
     return F.when(b < 0, fail("negative exponent", "bigint")).when(b == 0, F.lit(1).cast("bigint")).otherwise(product)
 

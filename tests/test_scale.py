@@ -168,3 +168,12 @@ def test_a_window_of_many_deadlines_is_linear(spark):
     done = done.executedPlan() if done.nodeName() == "AdaptiveSparkPlan" else done
     most = [m.get().value() for x in nodes(done) if (m := x.metrics().get("numOutputRows")).isDefined()]
     assert max(most, default=0) <= 4 * n
+
+
+def test_powers_of_any_exponent(spark):
+    rows = [("k", i, i, a, float(b)) for i, (a, b) in enumerate([(-1, 10**12 + 1), (1, 10**15), (0, 10**9), (2, 62), (-3, 3), (7, 0), (-1, 10**12)])]
+    spec = "input a: Int64\ninput b: Float64\noutput e: Int64 := cast(b)\noutput x := a ** e"
+    got = {r["__seq"]: r.x.v for r in evaluate(spec, spark.createDataFrame(rows, KINDS)).line.df.collect()}
+    assert [got[i] for i in range(len(rows))] == [-1, 1, 0, 2**62, -27, 1, 1]
+    with pytest.raises(Exception, match="(?i)overflow"):
+        evaluate(spec, spark.createDataFrame([("k", 0, 0, 2, 64.0)], KINDS)).line.df.collect()
