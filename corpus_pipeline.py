@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from streamspec.llm import exact_dedup, near_dedup, packing, pii, quality_rules
-from streamspec.llm.common import materialise
+from streamspec.llm.common import discard, materialise
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -64,5 +64,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on the documents of a folder; what each returns is written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        before, docs = docs, materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        discard(before)
     return docs
