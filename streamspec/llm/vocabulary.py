@@ -128,7 +128,7 @@ class TextIds:
     Texts that hold an added token, and those of tokenizers of any other kind, are encoded whole.
     """
 
-    def __init__(self, path: str, special_as_text: bool = False, most: int = 600_000):
+    def __init__(self, path: str, special_as_text: bool = False, most: int = 300_000):
         self.own = tokenizers.Tokenizer.from_file(path)
         self.own.encode_special_tokens = special_as_text
         with open(path, encoding="utf-8") as f:
