@@ -5,15 +5,18 @@ with min, max, && and ||, latches ``if p then e else x[-1].defaults(to: c)``, an
 ``!x[-1].defaults(to: c)``. Remainders of linear recursions, ``(x[-1].defaults(to: c) * a + b) % m``
 with a and b free of x, are composed: each chunk is one such step, the steps of chunks are chained,
 and chunks then run side by side from their own starting values. Anything else is a fold: a Python
-function, generated from the expressions, reads the ordered timeline once, batch by batch, and keeps
-as many past values as offsets need. A fold is sequential by its nature: one task, or with keys one
-for each key.
+function, generated from the expressions, reads the ordered timeline, batch by batch, and keeps
+as many past values as offsets need. A fold is sequential by its nature: with keys a task for each key;
+without, chunk after chunk, each from the past values that the one before it left, over the rows and
+columns that can change them. From these chunks then run side by side.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections import deque
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -25,8 +28,8 @@ from streamspec.functions.columns import Columns, sql_type
 from streamspec.functions.python import NAMES, Source
 from streamspec.lang import tree as t
 from streamspec.operators.temporal import running
-from streamspec.operators.timeline import ORDER, Timeline
-from streamspec.storage import materialise
+from streamspec.operators.timeline import CHUNK, ORDER, Timeline
+from streamspec.storage import drop_path, materialise, scratch
 
 
 def _bare(e: t.Expr) -> t.Expr:
@@ -151,7 +154,7 @@ def composed(line: Timeline, s: Stream, form: tuple[t.Expr, int, Linear], column
     low, high, first = line.df.agg(F.least(F.min("__a"), F.min("__b"), F.min("__c")), F.greatest(F.max("__a"), F.max("__b")), F.max("__c")).first()
     if low is None or low < 0 or high >= limit or first >= limit:
         return None
-    rows = line.df.repartition(*map(F.col, parts)).sortWithinPartitions(*parts, *ORDER)
+    rows = line.with_df(line.df.select(*[F.col(f"`{p}`") for p in parts], *ORDER, "__a", "__b")).dealt().sortWithinPartitions(*parts, *ORDER)
     schema = rows.select(*[F.col(f"`{p}`") for p in parts]).schema
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,7 +199,7 @@ def composed(line: Timeline, s: Stream, form: tuple[t.Expr, int, Linear], column
     ordered = (per.repartition(*map(F.col, keys)) if keys else per.repartition(1)).sortWithinPartitions(*parts)
     starts = materialise(ordered.mapInArrow(chain, StructType([*schema.fields, StructField("__x", LongType())])), "starts")
     joined = line.df.join(starts if keys else F.broadcast(starts), parts)
-    joined = joined.repartition(*map(F.col, parts)).sortWithinPartitions(*parts, *ORDER)
+    joined = line.with_df(joined).dealt().sortWithinPartitions(*parts, *ORDER)
     rest = [n for n in line.df.columns if n not in ("__a", "__b", "__c")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,26 +270,58 @@ def folded(line: Timeline, spec: Spec, group: list[Stream], active: dict[str, Co
                 depth[u.name] = max(depth[u.name], u.steps)
     depths, names = [depth[s.name] for s in group], [s.name for s in group]
     flags = [f"__a{i}" for i in range(len(group))]
+    by = list(line.keys)
+    chunked = line.chunks > 1 and not by
+    line = line.settled() if chunked else line
     df = line.df.withColumns({**needed, **{f: F.coalesce(active[n], F.lit(False)) for f, n in zip(flags, names, strict=True)}})
     rest, values = list(line.df.columns), [f"__v{i}" for i in range(len(group))]
-    by = list(line.keys)
-    df = df.repartition(*map(F.col, by)) if by else df.repartition(1)
-    df = df.sortWithinPartitions(*by, *ORDER)
     ins = list(needed)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def columns(batch: pa.RecordBatch, names: list[str]) -> Iterator[tuple]:
+        return zip(*[batch.column(c).to_pylist() for c in names], strict=True) if names else iter([()] * batch.num_rows)
+
+    def compiled() -> Callable:
         space = dict(NAMES)
         exec(source, space)
-        step, past, key = space["step"], None, None
+        return space["step"]
+
+    def leaves(start: bytes) -> Callable:
+        """The past values after a chunk, from those before it."""
+
+        def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            step, past = compiled(), pickle.loads(start)
+            for batch in batches:
+                for row, mark in zip(columns(batch, ins), columns(batch, flags), strict=True):
+                    step(row, mark, past)
+            yield pa.RecordBatch.from_pydict({"past": pa.array([pickle.dumps(past)], pa.binary())})
+
+        return read
+
+    starts = [pickle.dumps([deque(maxlen=d) for d in depths])]
+    if chunked:
+        # A folder for each chunk, so that a chunk is read by itself, and a task for it.
+        path, spark = scratch(df.sparkSession, "fold"), df.sparkSession
+        acting = df.where(reduce(Column.__or__, map(F.col, flags))).select(CHUNK, *ORDER, *flags, *ins)
+        line.with_df(acting).dealt().write.partitionBy(CHUNK).parquet(path)
+        rows = spark.read.schema(acting.schema).parquet(path)
+        for i in range(line.chunks - 1):
+            own = rows.where(F.col(CHUNK) == i).coalesce(1).sortWithinPartitions(*ORDER)
+            found = own.select(*flags, *ins).mapInArrow(leaves(starts[-1]), "past binary").first()
+            starts.append(bytes(found[0]) if found else starts[-1])
+        drop_path(spark, path)
+        df = line.with_df(df).dealt().sortWithinPartitions(CHUNK, *ORDER)
+    else:
+        df = df.repartition(*([line.tasks] if line.chunks > 1 else []), *map(F.col, by)) if by else df.repartition(1)
+        df = df.sortWithinPartitions(*by, *ORDER)
+    parts = line.parts if chunked else by
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step, past, key = compiled(), None, None
         for batch in batches:
-            rows = list(zip(*[batch.column(c).to_pylist() for c in ins], strict=True)) if ins else [()] * batch.num_rows
-            marks = list(zip(*[batch.column(c).to_pylist() for c in flags], strict=True))
-            own_keys = list(zip(*[batch.column(c).to_pylist() for c in by], strict=True)) if by else None
             out = []
-            for i, (row, mark) in enumerate(zip(rows, marks, strict=True)):
-                if past is None or own_keys and own_keys[i] != key:
-                    past = [deque(maxlen=d) for d in depths]
-                    key = own_keys[i] if own_keys else None
+            for row, mark, own in zip(columns(batch, ins), columns(batch, flags), columns(batch, parts), strict=True):
+                if past is None or own != key:
+                    past, key = pickle.loads(starts[own[0] if chunked else 0]), own
                 out.append(step(row, mark, past))
             cols = list(zip(*out, strict=True)) if out else [()] * len(values)
             arrays = {c: batch.column(c) for c in [*rest, *flags]}

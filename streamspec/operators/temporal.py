@@ -36,7 +36,7 @@ def latest(line: Timeline, streams: dict[str, Column], before: bool = False) ->
     at = F.struct(*ORDER)
     per = line.df.groupBy(*line.parts).agg(*[F.max_by(c, F.when(c.isNotNull(), at)).alias(n) for n, c in streams.items()])
     rest = per.select(*line.parts, *[F.last(F.col(f"`{n}`"), True).over(_earlier(line)).alias(f"__c {n}") for n in streams])
-    df = _carried(line, line.df.withColumns(local), rest)
+    df = _carried(line, line.dealt().withColumns(local), rest)
     df = df.withColumns({n: F.coalesce(F.col(f"`{n}`"), F.col(f"`__c {n}`")) for n in streams}).drop(*[f"__c {n}" for n in streams])
     return line.with_df(df)
 
@@ -58,7 +58,7 @@ def back(line: Timeline, stream: str, steps: int, name: str) -> Timeline:
     counted = line.df.groupBy(*line.parts).agg(F.count(own).alias("__n"))
     earlier = counted.select(*line.parts, F.coalesce(F.sum("__n").over(_earlier(line)), F.lit(0)).alias("__before"))
     local = F.count(own).over(line.window().rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    df = _carried(line, line.df.withColumn("__k", local), earlier, "inner")
+    df = _carried(line, line.dealt().withColumn("__k", local), earlier, "inner")
     df = df.withColumn("__k", F.when(own.isNotNull(), F.col("__k") + F.col("__before"))).drop("__before")
     past = df.where(own.isNotNull()).select(*line.keys, (F.col("__k") + steps).alias("__k"), own.alias(name))
     return line.with_df(df.join(past, [*line.keys, "__k"], "left").drop("__k"))
@@ -80,7 +80,7 @@ def running(line: Timeline, values: dict[str, tuple[Column, str]]) -> Timeline:
     per = line.df.groupBy(*line.parts).agg(*[(F.max_by(c, F.when(c.isNotNull(), at)) if f == "last" else functions[f](c)).alias(n) for n, (c, f) in values.items()])
     merge = {"sum": F.sum, "count": F.sum, "min": F.min, "max": F.max, "last": lambda c: F.last(c, True)}
     rest = per.select(*line.parts, *[merge[f](F.col(f"`{n}`")).over(_earlier(line)).alias(f"__c {n}") for n, (_, f) in values.items()])
-    df = _carried(line, line.df.withColumns({n: agg(f, c).over(over) for n, (c, f) in values.items()}), rest)
+    df = _carried(line, line.dealt().withColumns({n: agg(f, c).over(over) for n, (c, f) in values.items()}), rest)
     both = {}
     for n, (_, f) in values.items():
         a, b = F.col(f"`{n}`"), F.col(f"`__c {n}`")

@@ -6,8 +6,7 @@ deadlines at the same time.
 
 A window over the whole timeline would be one task. So a long timeline is cut into chunks with about
 equally many rows: windows run in each chunk, and what a chunk needs from those before it is computed
-from one row for each chunk and joined back. All windows share the partitioning by chunk, so the
-timeline is shuffled once. Chunks are cut between times, and within an instant by the order of its
+from one row for each chunk and joined back. Each chunk is a task of its own, however long the timeline is. Chunks are cut between times, and within an instant by the order of its
 events where one instant has more rows than a chunk. With keys, each key has its own rows of a chunk,
 so a frequent key is as many tasks as it has chunks.
 """
@@ -21,8 +20,8 @@ from pyspark.sql import functions as F
 
 from streamspec.storage import materialise
 
-#: Rows in a chunk: what one task sorts, some hundred MB. Timelines up to this are one chunk.
-CHUNK_ROWS = 4_000_000
+#: Rows in a chunk: what one task sorts, at most some hundred MB. Timelines up to this are one chunk.
+CHUNK_ROWS = 1_000_000
 #: Chunks at most, which bounds the table of one row a chunk that is broadcast (chunks then hold more
 #: rows), and slots of time for each chunk.
 MOST_CHUNKS, SLOTS = 32_768, 4
@@ -54,6 +53,20 @@ class Timeline:
         by = [*map(F.col, self.parts), *more]
         return (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy(*ORDER)
 
+    def dealt(self) -> DataFrame:
+        """The rows with each part in one task: a task a chunk, or with keys a number of tasks that follows
+        the rows. The number is fixed, since small partitions would else be put together to tasks that grow."""
+        if self.chunks == 1:
+            return self.df
+        if not self.keys:
+            return self.df.repartitionById(self.chunks, F.col(CHUNK))
+        return self.df.repartition(self.tasks, *map(F.col, self.parts))
+
+    @property
+    def tasks(self) -> int:
+        """Tasks among which rows are dealt by a hash."""
+        return max(2 * self.chunks, self.df.sparkSession.sparkContext.defaultParallelism)
+
     def settled(self) -> Timeline:
         """The timeline, written if it has several chunks, since it is then read twice: for the
         rows of chunks and for itself."""

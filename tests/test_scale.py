@@ -177,3 +177,24 @@ def test_powers_of_any_exponent(spark):
     assert [got[i] for i in range(len(rows))] == [-1, 1, 0, 2**62, -27, 1, 1]
     with pytest.raises(Exception, match="(?i)overflow"):
         evaluate(spec, spark.createDataFrame([("k", 0, 0, 2, 64.0)], KINDS)).line.df.collect()
+
+
+FOLDS = """input a: Int64
+input b: Float64
+output x := y[-1].defaults(to: 0) + a
+output y @a := x[-2].defaults(to: 1) % 97
+output z @(a || b) := (z[-3].defaults(to: 2) * 3 + y.hold(or: 1)) % 7 - z[-1].defaults(to: 1)
+"""
+
+
+def most_rows_of_a_task(line):
+    return max(r["count"] for r in line.df.withColumn("__task", F.spark_partition_id()).groupBy("__task").count().collect())
+
+
+def test_a_fold_takes_chunk_after_chunk(spark):
+    """No task sorts more than a chunk, also where chunks have no value that acts."""
+    rows = [("k", t, i, a if not 90 < i < 160 else None, b if not 60 < i < 190 else None) for _, t, i, a, b in events(random.Random(9), 250)]
+    trace = spark.createDataFrame(rows, KINDS).repartition(3)
+    one, many = (evaluate(FOLDS, trace, chunk_rows=c).line for c in (10**6, 20))
+    assert many.chunks > 8 and most_rows_of_a_task(many) <= 3 * 20
+    assert len({str(sorted(map(str, x.df.select("__ts", "__seq", "x", "y", "z").collect()))) for x in (one, many)}) == 1
