@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from streamspec.operators.timeline import CHUNK, ORDER, Timeline
 
-#: Offsets up to this chain windows over the same order; longer ones number the values.
-CHAINED = 4
+#: Offsets up to this look back in one window, and chunks leave so many values; longer ones number the values.
+NEAR = 4
 
 
 def _earlier(line: Timeline):
@@ -41,15 +41,34 @@ def latest(line: Timeline, streams: dict[str, Column], before: bool = False) ->
     return line.with_df(df)
 
 
+def _near(line: Timeline, stream: str, steps: int, name: str) -> Timeline:
+    """back for few steps: one window, however many steps, over rows that need no other order."""
+    own = F.col(f"`{stream}`")
+    by = ", ".join(f"`{p}`" for p in line.parts) or "0"
+    here = F.expr(f"lag(`{stream}`, {steps}) IGNORE NULLS OVER (PARTITION BY {by} ORDER BY {', '.join(ORDER)})")
+    if line.chunks == 1:
+        df = line.df.withColumn(name, here)
+        return line.with_df(df.withColumn(name, F.when(own.isNotNull(), F.col(f"`{name}`"))))
+    # What is not in a row's own chunk is among the last values of so many chunks with values before it.
+    line = line.settled()
+    few = line.with_df(line.df.where(own.isNotNull()).select(*[F.col(f"`{p}`") for p in line.parts], *ORDER, own.alias("__o")))
+    newest = Window.partitionBy(*line.parts).orderBy(*[F.col(c).desc() for c in ORDER])
+    ends = few.dealt().withColumn("__r", F.row_number().over(newest)).where(F.col("__r") <= steps)
+    per = ends.groupBy(*line.parts).agg(F.array_sort(F.collect_list(F.struct("__r", "__o"))).alias("__o"))
+    before = (Window.partitionBy(*line.keys) if line.keys else Window).orderBy(CHUNK).rowsBetween(-steps, -1)
+    rest = per.select(*line.parts, F.flatten(F.reverse(F.collect_list("__o").over(before))).alias("__left"))
+    count = F.count(own).over(line.window().rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    df = _carried(line, line.dealt().withColumns({name: here, "__k": count}), rest)
+    left = F.get("__left", (F.lit(steps) - F.col("__k")).cast("int"))["__o"]
+    df = df.withColumn(name, F.when(own.isNotNull(), F.coalesce(F.col(f"`{name}`"), left)))
+    return line.with_df(df.drop("__left", "__k"))
+
+
 def back(line: Timeline, stream: str, steps: int, name: str) -> Timeline:
     """Adds a column with the value that a struct column had steps values before, at its own rows."""
     own = F.col(f"`{stream}`")
-    if steps <= CHAINED:
-        for i in range(1, steps + 1):
-            now = own if i == 1 else F.when(own.isNotNull(), F.col(f"`__b {i - 1}`"))
-            line = latest(line, {f"__b {i}": now}, before=True)
-        df = line.df.withColumn(name, F.when(own.isNotNull(), F.col(f"`__b {steps}`")))
-        return line.with_df(df.drop(*[f"__b {i}" for i in range(1, steps + 1)]))
+    if steps <= NEAR:
+        return _near(line, stream, steps, name)
     if line.chunks == 1:
         here = F.lag(own, steps).over(line.window(own.isNotNull()))
         return line.with_df(line.df.withColumn(name, F.when(own.isNotNull(), here)))

@@ -198,3 +198,34 @@ def test_a_fold_takes_chunk_after_chunk(spark):
     one, many = (evaluate(FOLDS, trace, chunk_rows=c).line for c in (10**6, 20))
     assert many.chunks > 8 and most_rows_of_a_task(many) <= 3 * 20
     assert len({str(sorted(map(str, x.df.select("__ts", "__seq", "x", "y", "z").collect()))) for x in (one, many)}) == 1
+
+
+NEAR = "input a: Int64\ninput b: Float64\n" + "".join(f"output x{i} := a[-{i}].defaults(to: 0)\noutput y{i} := b[-{i}]\n" for i in range(1, 5)) + "output z @(a || b) := x2.get()\noutput u @(a || b) := z[-3]\n"
+
+
+@pytest.mark.parametrize("keys", [(), ("key",)])
+def test_offsets_reach_back_over_chunks(spark, keys):
+    """Chunks with fewer values than steps, and values that are none; no task holds more than a chunk."""
+    r = random.Random(12)
+    rows = [(k, t, i, a if not 60 < i < 130 or i == 99 else None, b if i % 9 == 0 else None) for k, t, i, a, b in events(r, 220, lambda r: r.choice("xxxy"))]
+    trace = spark.createDataFrame(rows, KINDS).repartition(3)
+    one, many = (evaluate(NEAR, trace, keys, chunk_rows=c).line for c in (10**6, 15))
+    names = [*(f"{n}{i}" for n in "xy" for i in range(1, 5)), "u"]
+    got = [sorted(map(str, x.df.select(*keys, "__ts", "__seq", *names).collect())) for x in (one, many)]
+    assert got[0] == got[1]
+    if not keys:
+        assert most_rows_of_a_task(many) <= 3 * 15
+        past: list = []
+        want = {}
+        for _, t, i, a, _ in rows:
+            if a is not None:
+                want[i] = [past[-k] if len(past) >= k else 0 for k in range(1, 5)]
+                past.append(a)
+        assert {x["__seq"]: [x[f"x{k}"].v for k in range(1, 5)] for x in many.df.where("a IS NOT NULL").collect()} == want
+
+
+def test_an_offset_is_one_window(spark):
+    line = evaluate("input a: Int64\noutput x := a[-3].defaults(to: 0)", spark.createDataFrame([("k", i, i, i, None) for i in range(9)], KINDS)).line
+    plan = line.df.select("__ts", "x")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") == 1
+    assert [x.x.v for x in line.df.orderBy("__ts").collect()] == [0, 0, 0, *range(6)]
