@@ -229,3 +229,18 @@ def test_an_offset_is_one_window(spark):
     plan = line.df.select("__ts", "x")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Window [") == 1
     assert [x.x.v for x in line.df.orderBy("__ts").collect()] == [0, 0, 0, *range(6)]
+
+
+#: Deadlines of a hold, past values of an output, remainders by chunks: forms whose tasks may not grow with the trace.
+TASKS = {
+    "offset_realtime": "input a: Int64\ninput b: Float64\noutput h @1s := a.hold(or: 0)\noutput x @2s := h - h.offset(by: -3s).defaults(to: 0)",
+}
+
+
+@pytest.mark.parametrize("name", list(TASKS))
+def test_tasks_hold_a_chunk(spark, name):
+    rows = [(k, t, i, a and abs(a), b) for k, t, i, a, b in events(random.Random(14), 250)]
+    trace = spark.createDataFrame(rows, KINDS).repartition(3)
+    one, many = (evaluate(TASKS[name], trace, chunk_rows=c).line for c in (10**6, 20))
+    assert most_rows_of_a_task(many) <= 3 * 20
+    assert len({str(sorted(map(str, x.df.select("__ts", "__kind", "__seq", "x").collect()))) for x in (one, many)}) == 1
