@@ -233,6 +233,7 @@ def test_an_offset_is_one_window(spark):
 
 #: Deadlines of a hold, past values of an output, remainders by chunks: forms whose tasks may not grow with the trace.
 TASKS = {
+    "recursion": "input a: Int64\ninput b: Float64\noutput x := (x[-1].defaults(to: 1) * 31 + a) % 1009",
     "offset_of_output": "input a: Int64\ninput b: Float64\noutput h @(a || b) := a.hold().defaults(to: 0)\noutput x @(a || b) := h[-2].defaults(to: -1)",
     "offset_realtime": "input a: Int64\ninput b: Float64\noutput h @1s := a.hold(or: 0)\noutput x @2s := h - h.offset(by: -3s).defaults(to: 0)",
 }
