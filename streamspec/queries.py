@@ -257,22 +257,26 @@ def packets(spark: SparkSession, sf_dir: str) -> str:
     cells = events.select(F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"), "event_id", "user_id", "event_type")
     folder = scratch(spark, "pcap")
 
+    def framed(rows):
+        for r in rows:
+            payload = r["event_type"].encode()
+            udp = struct.pack("!HHHH", 1024 + r["event_id"] % 50_000, 53, 8 + len(payload), 0) + payload
+            target = (192, 168, 1, 1) if r["event_type"] in ("click", "view") else (8, 8, 8, 8)
+            source = (10, *(r["user_id"] >> k & 255 for k in (16, 8, 0)))
+            ip = struct.pack("!BBHHHBBH4s4s", 0x45, 0, 20 + len(udp), 0, 0, 64, 17, 0, bytes(source), bytes(target))
+            frame = bytes(range(12)) + struct.pack("!H", 0x0800) + ip + udp
+            yield struct.pack("<IIII", r["micros"] // 10**6, r["micros"] % 10**6, len(frame), len(frame)) + frame
+
     def write(batches):
-        part, data = TaskContext.get().partitionId(), [struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 65_535, 1)]
-        for batch in batches:
-            for r in batch.to_pylist():
-                payload = r["event_type"].encode()
-                udp = struct.pack("!HHHH", 1024 + r["event_id"] % 50_000, 53, 8 + len(payload), 0) + payload
-                target = (192, 168, 1, 1) if r["event_type"] in ("click", "view") else (8, 8, 8, 8)
-                source = (10, *(r["user_id"] >> k & 255 for k in (16, 8, 0)))
-                ip = struct.pack("!BBHHHBBH4s4s", 0x45, 0, 20 + len(udp), 0, 0, 64, 17, 0, bytes(source), bytes(target))
-                frame = bytes(range(12)) + struct.pack("!H", 0x0800) + ip + udp
-                data.append(struct.pack("<IIII", r["micros"] // 10**6, r["micros"] % 10**6, len(frame), len(frame)) + frame)
+        part, packets = TaskContext.get().partitionId(), 0
         system, path = pa.fs.FileSystem.from_uri(folder)
         system.create_dir(path)
         with system.open_output_stream(f"{path}/{part:05d}.pcap") as f:
-            f.write(b"".join(data))
-        yield pa.RecordBatch.from_pydict({"packets": [len(data) - 1]})
+            f.write(struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 65_535, 1))
+            for batch in batches:
+                f.write(b"".join(framed(batch.to_pylist())))
+                packets += batch.num_rows
+        yield pa.RecordBatch.from_pydict({"packets": [packets]})
 
     cells.mapInArrow(write, "packets long").agg(F.sum("packets")).collect()
     return folder

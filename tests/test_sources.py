@@ -1,5 +1,6 @@
 """CSV files, packet captures, guessed schemas."""
 
+import ipaddress
 import json
 import socket
 import struct
@@ -190,6 +191,17 @@ def test_capture(spark, capture):
     assert {r.trigger: r.fired for r in evaluate(spec, trace.df).statistics().collect()} == {0: 1, 1: 0, 2: 1}
 
 
+def test_a_capture_is_decoded_once(spark, capture):
+    """What reads the trace, several times where it is long, does not decode again."""
+    spec = check("input IPv4::source: (UInt64, UInt64, UInt64, UInt64), payload: String, direction: String")
+    trace = pcap.read(spark, capture, spec, "192.168.0.0/16")
+    assert "MapInArrow" not in trace.df._jdf.queryExecution().executedPlan().toString()
+    local = ipaddress.ip_network("192.168.0.0/16")
+    for f in FRAMES:
+        every, some = pcap.decode(f, local), pcap.decode(f, local, set(spec.inputs))
+        assert every == some or {n: every.get(n) for n in spec.inputs} == {n: some.get(n) for n in spec.inputs}
+
+
 def test_frames_that_cannot_be_decoded_are_counted(spark, capture):
     (one,) = pcap.survey(spark, capture).collect()
     assert one.file.endswith("c.pcap") and (one.packets, one.undecodable) == (len(FRAMES), 1)
