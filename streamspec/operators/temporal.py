@@ -23,6 +23,17 @@ def _carried(line: Timeline, df: DataFrame, rest: DataFrame, how: str = "left")
     return df.join(rest if line.keys else F.broadcast(rest), line.parts, how)
 
 
+def _at_ends(line: Timeline, streams: dict[str, Column]) -> DataFrame:
+    """The last values of columns in each chunk (of each key): a row for each, found in a task for each. An
+    aggregate would sort the rows of a whole split of the timeline, since its buffers are no numbers."""
+    own = [F.col(f"`{p}`") for p in line.parts]
+    few = line.with_df(line.df.select(*own, *ORDER, *[c.alias(n) for n, c in streams.items()]))
+    over = line.window().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = {n: F.last(F.col(f"`{n}`"), True).over(over) for n in streams}
+    rows = few.dealt().withColumns({**last, "__end": F.lead(F.lit(True)).over(line.window()).isNull()})
+    return rows.where("__end").select(*own, *[F.col(f"`{n}`") for n in streams])
+
+
 def latest(line: Timeline, streams: dict[str, Column], before: bool = False) -> Timeline:
     """Adds columns with the latest value of struct columns, at a row or before it; names to columns."""
     if not streams:
@@ -33,9 +44,7 @@ def latest(line: Timeline, streams: dict[str, Column], before: bool = False) ->
     if line.chunks == 1:
         return line.with_df(line.df.withColumns(local))
     line = line.settled()
-    at = F.struct(*ORDER)
-    per = line.df.groupBy(*line.parts).agg(*[F.max_by(c, F.when(c.isNotNull(), at)).alias(n) for n, c in streams.items()])
-    rest = per.select(*line.parts, *[F.last(F.col(f"`{n}`"), True).over(_earlier(line)).alias(f"__c {n}") for n in streams])
+    rest = _at_ends(line, streams).select(*line.parts, *[F.last(F.col(f"`{n}`"), True).over(_earlier(line)).alias(f"__c {n}") for n in streams])
     df = _carried(line, line.dealt().withColumns(local), rest)
     df = df.withColumns({n: F.coalesce(F.col(f"`{n}`"), F.col(f"`__c {n}`")) for n in streams}).drop(*[f"__c {n}" for n in streams])
     return line.with_df(df)
@@ -95,8 +104,10 @@ def running(line: Timeline, values: dict[str, tuple[Column, str]]) -> Timeline:
     if line.chunks == 1:
         return line.with_df(line.df.withColumns({n: agg(f, c).over(over) for n, (c, f) in values.items()}))
     line = line.settled()
-    at = F.struct(*ORDER)
-    per = line.df.groupBy(*line.parts).agg(*[(F.max_by(c, F.when(c.isNotNull(), at)) if f == "last" else functions[f](c)).alias(n) for n, (c, f) in values.items()])
+    lasts, sums = {n: c for n, (c, f) in values.items() if f == "last"}, {n: functions[f](c) for n, (c, f) in values.items() if f != "last"}
+    per = line.df.groupBy(*line.parts).agg(*[c.alias(n) for n, c in sums.items()]) if sums else _at_ends(line, lasts)
+    if sums and lasts:
+        per = per.join(_at_ends(line, lasts), line.parts)
     merge = {"sum": F.sum, "count": F.sum, "min": F.min, "max": F.max, "last": lambda c: F.last(c, True)}
     rest = per.select(*line.parts, *[merge[f](F.col(f"`{n}`")).over(_earlier(line)).alias(f"__c {n}") for n, (_, f) in values.items()])
     df = _carried(line, line.dealt().withColumns({n: agg(f, c).over(over) for n, (c, f) in values.items()}), rest)

@@ -246,3 +246,16 @@ def test_tasks_hold_a_chunk(spark, name):
     one, many = (evaluate(TASKS[name], trace, chunk_rows=c).line for c in (10**6, 20))
     assert most_rows_of_a_task(many) <= 3 * 20
     assert len({str(sorted(map(str, x.df.select("__ts", "__kind", "__seq", "x").collect()))) for x in (one, many)}) == 1
+
+
+#: The first steps of these queries: what they hold, chunks leave to those after them.
+HELD = {"offset_realtime": "input a: Int64\ninput b: Float64\noutput x @1s := a.hold(or: 0)"}
+
+
+@pytest.mark.parametrize("name", list(HELD))
+def test_what_chunks_leave_is_found_by_chunks(spark, name):
+    """No aggregate sorts the rows of whole splits of the timeline."""
+    trace = spark.createDataFrame(events(random.Random(15), 250), KINDS).repartition(3)
+    one, many = (evaluate(HELD[name], trace, chunk_rows=c).line for c in (10**6, 20))
+    assert many.chunks > 8 and "SortAggregate" not in many.df._jdf.queryExecution().executedPlan().toString()
+    assert len({str(sorted(map(str, x.df.select("__ts", "__kind", "__seq", "x").collect()))) for x in (one, many)}) == 1
