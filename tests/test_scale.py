@@ -249,7 +249,11 @@ def test_tasks_hold_a_chunk(spark, name):
 
 
 #: The first steps of these queries: what they hold, chunks leave to those after them.
-HELD = {"offset_realtime": "input a: Int64\ninput b: Float64\noutput x @1s := a.hold(or: 0)"}
+HELD = {
+    "offset_realtime": "input a: Int64\ninput b: Float64\noutput x @1s := a.hold(or: 0)",
+    "offset_of_output": "input a: Int64\ninput b: Float64\noutput x @(a || b) := a.hold().defaults(to: 0)",
+    "latch": "input a: Int64\ninput b: Float64\noutput x @(a || b) := if a.get().defaults(to: 0) > 5 then a.get().defaults(to: 0) else x[-1].defaults(to: -1)",
+}
 
 
 @pytest.mark.parametrize("name", list(HELD))
