@@ -22,9 +22,12 @@ from streamspec.storage import materialise
 
 #: Rows in a chunk: what one task sorts, at most some hundred MB. Timelines up to this are one chunk.
 CHUNK_ROWS = 1_000_000
-#: Chunks at most, which bounds the table of one row a chunk that is broadcast (chunks then hold more
-#: rows), and slots of time for each chunk.
+#: Shares of rows at most, which bounds the table of one row a chunk that is broadcast (chunks then hold
+#: more rows; where times come in clumps, there are a few chunks a share), and slots of time for each.
 MOST_CHUNKS, SLOTS = 32_768, 4
+#: Shares that a chunk of whole slots may hold, those of a part of a slot, and those of one instant beyond
+#: which it is cut. No chunk holds more than the last two together.
+MOST, PART, INSTANT = 1.5, 1.25, 0.5
 ORDER = ("__ts", "__kind", "__seq")
 CHUNK = "__chunk"
 
@@ -125,9 +128,17 @@ def build(trace: DataFrame, periods: list[int], keys: tuple[str, ...] = (), chun
     return Timeline(events, last, chunks, keys)
 
 
+def _parts(rows: int, most: float) -> int:
+    """How many parts of at most so many rows: a power of two, so that parts are equal by quantiles of any more."""
+    parts = 1
+    while rows > parts * most:
+        parts *= 2
+    return parts
+
+
 def _cuts(rows: DataFrame, by: str, value: str, parts: dict[int, int]) -> dict[int, list[int]]:
     """For each value of by, where its rows are cut into so many parts of about equally many rows.
-    parts and the cuts are at most as many as there are chunks."""
+    parts are powers of two; they and the cuts are at most a few times as many as there are shares."""
     most = max(parts.values())
     shares = F.array(*[F.lit(i / most) for i in range(1, most)])
     found = rows.where(F.col(by).isin(list(parts))).groupBy(by).agg(F.percentile_approx(value, shares, 10_000).alias("q")).collect()
@@ -138,19 +149,21 @@ def _chunk_of(events: DataFrame, last: int, chunks: int) -> tuple[Column, int]:
     """The chunk of a row, and their number.
 
     Time is cut into slots of equal length, as many in a chunk as hold its share of rows. A slot with
-    the rows of several chunks is cut at quantiles of time, an instant at quantiles of the order.
+    the rows of several chunks is cut at quantiles of time, an instant at quantiles of the order. However
+    times are spread, a chunk holds a bounded number of shares, since it is what a task sorts.
     """
     width = last // (chunks * SLOTS) + 1
     slot = F.call_function("div", F.col("__ts"), F.lit(width))
     rows = events.select(slot.alias("s"), "__ts", "__kind", "__seq")
     counts = {r.s: r["count"] for r in rows.groupBy("s").count().collect()}  # at most chunks * SLOTS rows
     share = sum(counts.values()) / chunks
-    crowded = {s: min(chunks, round(n / share)) for s, n in counts.items() if n >= 2 * share}
+    crowded = {s: _parts(n, PART * share) for s, n in counts.items() if n > MOST * share}
     cuts: dict[int, list[tuple[int, int]]] = {}
     if crowded:
         times = _cuts(rows, "s", "__ts", crowded)
-        # A time that takes several parts is a burst.
-        bursts = {t: q.count(t) + 1 for q in times.values() for t in q if q.count(t) > 1}
+        # A time with many rows is a burst: cut before it, a chunk would hold them all.
+        at = rows.where(F.col("__ts").isin([*{t for q in times.values() for t in q}])).where("__kind = 0").groupBy("__ts").count().collect()
+        bursts = {r["__ts"]: _parts(r["count"], INSTANT * share) for r in at if r["count"] > INSTANT * share}
         orders = _cuts(rows.where("__kind = 0"), "__ts", "__seq", bursts) if bursts else {}
         for s, q in times.items():
             cuts[s] = sorted({(t, -1) for t in q} | {(t, o) for t in set(q) for o in orders.get(t, ())})
@@ -161,10 +174,11 @@ def _chunk_of(events: DataFrame, last: int, chunks: int) -> tuple[Column, int]:
             ids.append(most)
             most += len(cuts[s]) + 1
             continue
-        if seen >= share:
+        n = counts.get(s, 0)
+        if seen + n / 2 >= share or seen + n > MOST * share:
             seen, most = 0.0, most + 1
         ids.append(most)
-        seen += counts.get(s, 0)
+        seen += n
     table = F.split(F.lit(",".join(map(str, ids))), ",").cast("array<int>")  # folded to a constant
     chunk = F.element_at(table, (slot + 1).cast("int"))
     if cuts:

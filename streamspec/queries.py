@@ -7,6 +7,7 @@ order), c (user of clicks), e (errors true, views false). Times are nanoseconds
 
 from __future__ import annotations
 
+import re
 import struct
 from collections.abc import Callable
 
@@ -59,11 +60,18 @@ def _rounded(df: DataFrame) -> DataFrame:
     return df.select(*[F.round(c, 4).alias(c) if k == "double" else F.col(c) for c, k in df.dtypes])
 
 
+def _named(*texts: str) -> str:
+    """The declarations of the inputs that texts name: others would only be carried through every step."""
+    words = set(re.findall(r"\w+", " ".join(texts)))
+    own = [x for x in INPUTS.strip().removeprefix("input ").split(", ") if x.split(":")[0] in words]
+    return f"input {', '.join(own)}\n" if own else INPUTS
+
+
 def _streams(spec: str, *names: str, rounded: bool = True) -> Callable[[SparkSession, str], DataFrame]:
     """A query for ts and values of streams with the clock of the first one."""
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        res = run(spark, sf_dir, spec)
+        res = evaluate(_named(spec, *names) + spec, trace(spark, sf_dir).df)
         rows = res.line.df.where(F.col(f"`{names[0]}`").isNotNull())
         made = rows.select(F.col("__ts").alias("ts"), *[F.col(f"`{n}`")["v"].alias(n) for n in names])
         return _rounded(made) if rounded else made

@@ -263,3 +263,33 @@ def test_what_chunks_leave_is_found_by_chunks(spark, name):
     one, many = (evaluate(HELD[name], trace, chunk_rows=c).line for c in (10**6, 20))
     assert many.chunks > 8 and "SortAggregate" not in many.df._jdf.queryExecution().executedPlan().toString()
     assert len({str(sorted(map(str, x.df.select("__ts", "__kind", "__seq", "x").collect()))) for x in (one, many)}) == 1
+
+
+def clumps(name):
+    """Times of 600 events: slots with under one and under two chunks of rows, one slot with clumps of several
+    sizes, or instants with nearly two chunks of rows."""
+    if name == "slots":  # at 100 rows a chunk a slot is 100 long
+        return sorted([*range(10, 99)] + [100 + i // 2 for i in range(190)] + [1010 + i for i in range(60)] + [1200 + i // 2 for i in range(195)] + [1700 + i for i in range(65)] + [2399])
+    if name == "sizes":
+        return sorted([i // 8 for i in range(240)] + [1000 + i // 4 for i in range(245)] + [2000 + i for i in range(80)] + [2100 + i for i in range(34)] + [2399])
+    return sorted([0] * 10 + [1000] * 180 + [1001] * 20 + [1002] * 190 + [1003] * 9 + [1800] * 190 + [2399])
+
+
+@pytest.mark.parametrize("name", ["slots", "sizes", "instants"])
+def test_no_chunk_holds_more_than_its_bound(spark, name):
+    """However times are spread, a task has few more rows than a chunk should, and values are the same."""
+    r = random.Random(16)
+    rows = [("k", t, i, r.choice([None, r.randint(-9, 9)]), r.choice([None, i / 8])) for i, t in enumerate(clumps(name))]
+    trace = spark.createDataFrame(rows, KINDS).repartition(3)
+    one, many = (evaluate(TASKS["offset_of_output"], trace, chunk_rows=c).line for c in (10**6, 100))
+    sizes = [x["count"] for x in many.df.groupBy(CHUNK).count().collect()]
+    assert max(sizes) <= 175 and many.chunks <= 4 * 6
+    assert most_rows_of_a_task(many) == max(sizes)
+    assert len({str(sorted(map(str, x.df.select("__ts", "__kind", "__seq", "x").collect()))) for x in (one, many)}) == 1
+
+
+def test_queries_declare_the_inputs_that_they_name():
+    from streamspec import queries
+
+    assert queries._named("output x @ (p || c) := u.hold()", "x") == "input u: Int64, p: Float64, c: Int64\n"
+    assert queries._named("output x := 1", "x") == queries.INPUTS
